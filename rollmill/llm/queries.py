@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollmill.llm import bpe
+from rollmill.llm import bpe, pairs
 from rollmill.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "chats"), table(spark, sf_dir, "generations"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.cut_texts(table(spark, sf_dir, "generations"), table(spark, sf_dir, "demos"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.cut_rates(*(table(spark, sf_dir, name) for name in ("generations", "demos", "forward_export")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_rates, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
