@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollmill.llm import bpe, pairs
+from rollmill.llm import bpe, neardup, pairs
 from rollmill.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped_pairs(neardup.near_groups(table(spark, sf_dir, "chats"), threshold=0.7))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "chats"), threshold=0.7)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, sf_dir, "chats"), table(spark, sf_dir, "generations"))
 
@@ -27,7 +35,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_rates, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
