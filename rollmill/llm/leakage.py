@@ -3,7 +3,8 @@
 Test texts are cut into character q-grams with their places; a corpus text's q-grams are looked up in them. A passage of at
 least ``m`` characters with at most ``e`` edits shares at least ``m + 1 - q * (e + 1)`` q-grams with its source, all of them
 within a band of ``2 e + 1`` diagonals. So positions are kept that lie in a window with that many known q-grams, their hits
-are counted in overlapping diagonal bands, and the regions that meet the bound are verified by banded alignment.
+are counted in overlapping diagonal bands, and the regions that meet the bound of some passage they touch are verified by
+banded alignment.
 
 The test set is broadcast in blocks of a bounded number of texts, one pass over the corpus for each block.
 """
@@ -90,10 +91,26 @@ class TestTexts:
         order = np.argsort(hashes[inside], kind="stable")
         self.hashes, self.at, self.text_no = hashes[inside][order], at[inside][order], text_no[inside][order]
         self.starts = starts
+        self.need = self._needed(len(joined))[self.at] if len(self.at) else np.zeros(0, np.int64)
         self.known = np.zeros(1 << _MAP_BITS, bool)
         self.known[(self.hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
         self.windows: dict[int, set[tuple[str, ...]]] = {}
 
+    def _needed(self, size: int) -> np.ndarray:
+        """For the gram at each place of the joined texts: the least number of grams that the lemma wants of a passage (a window
+        of ``run_words`` words) with this gram."""
+        need = np.full(size + 1, 1 << 30, np.int64)
+        for base, words in zip(self.starts.tolist(), self.words):
+            at, begins = 0, []
+            for word in words:
+                begins.append(at)
+                at += len(word) + 1
+            for i in range(len(words) - self.run_words + 1):
+                first, end = begins[i], begins[i + self.run_words - 1] + len(words[i + self.run_words - 1])
+                own = need[base + first : base + end - self.q + 1]
+                np.minimum(own, end - first + 1 - self.q * (self.edits + 1), out=own)
+        return need
+
     def window_set(self, text_no: int) -> set[tuple[str, ...]]:
         if text_no not in self.windows:
             w, n = self.words[text_no], self.run_words
@@ -125,37 +142,60 @@ class TestTexts:
             return
         place = np.repeat(places, times)
         entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-        source, text_no = self.at[entry], self.text_no[entry]
+        source, text_no, need = self.at[entry], self.text_no[entry], self.need[entry]
         diagonal = place - source
         # two sets of bands, half a band apart: any 2 e + 1 neighbouring diagonals lie within a band of one set
         band_width = 2 * (2 * self.edits + 1)
         for shift in (0, band_width // 2):
             band = (diagonal + shift) // band_width
             order = np.lexsort((place, band, text_no))
-            p, s, t, b = place[order], source[order], text_no[order], band[order]
+            p, s, t, b, least = place[order], source[order], text_no[order], band[order], need[order]
             new = np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > width)]
             begin = np.flatnonzero(new)
             end = np.r_[begin[1:], len(p)]
-            enough = end - begin >= self.bound
+            enough = end - begin >= np.minimum.reduceat(least, begin)
             for i, j in zip(begin[enough].tolist(), end[enough].tolist()):
                 yield int(t[i]), int(p[i]), int(p[j - 1]) + self.q, int(s[i:j].min()), int(s[i:j].max()) + self.q
 
     def aligned(self, a: str, b: str, most: int) -> int | None:
-        """Edits between two regions if at most ``most``, by dynamic programming within the band of ``most`` diagonals."""
+        """Edits between two regions if at most ``most``, by dynamic programming within the band of ``most`` diagonals. What
+        the regions have in common at their ends needs none."""
         if a == b:
             return 0
         if abs(len(a) - len(b)) > most:
             return None
-        far = most + 1
-        row = {j: j for j in range(min(len(b), most) + 1)}
+        same = common_start(a, b)
+        a, b = a[same:], b[same:]
+        same = common_start(a[::-1], b[::-1])
+        a, b = a[: len(a) - same], b[: len(b) - same]
+        far, n = most + 1, len(b)
+        row = [*range(most + 1), *[far] * (n + 1)][: n + 2]  # row[j]: edits from a[:i] to b[:j]; outside of the band far
         for i, x in enumerate(a, 1):
-            new = {}
-            for j in range(max(0, i - most), min(len(b), i + most) + 1):
-                new[j] = min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]) if j else far)
-            row = new
-            if min(row.values()) > most:
+            low, high = max(0, i - most), min(n, i + most)
+            new = [far] * (n + 2)
+            best = far
+            for j in range(low, high + 1):
+                cost = row[j] + 1
+                if j:
+                    cost = min(cost, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+                new[j] = cost
+                best = min(best, cost)
+            if best > most:
                 return None
-        return row[len(b)] if row[len(b)] <= most else None
+            row = new
+        return row[n] if row[n] <= most else None
+
+
+def common_start(a: str, b: str) -> int:
+    """Length of the longest common start, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def longest_run(a: list[str], b: list[str], least: int, windows: set[tuple[str, ...]]) -> int:
@@ -229,7 +269,7 @@ def _search(tests: TestTexts, piece: list[tuple[int, int, str]]) -> list[tuple]:
     joined = "\n".join(text for _, _, text in piece)
     starts = np.cumsum([0] + [len(text) + 1 for _, _, text in piece])
     best: dict[tuple, tuple] = {}
-    for text_no, p, p_end, s, s_end in tests.candidates(code_points(joined)):
+    for text_no, p, p_end, s, s_end in dict.fromkeys(tests.candidates(code_points(joined))):
         m = int(np.searchsorted(starts, p, side="right")) - 1
         key, number, text = piece[m]
         base = int(starts[m])
