@@ -232,17 +232,17 @@ def register(q: Registry) -> None:
     def _(t):
         return t.generations.select("uid", F.explode("responses").alias("answer")).distinct()
 
-    @q("key_intersect", "SELECT uid FROM generations INTERSECT SELECT uid FROM demos")
+    @q("key_intersect", "SELECT uid FROM forward_export INTERSECT SELECT uid FROM demos")
     def _(t):
-        return t.generations.select("uid").intersect(t.demos.select("uid"))
+        return t.forward_export.select("uid").intersect(t.demos.select("uid"))
 
     @q("set_union_methods", "SELECT data_source FROM generations UNION SELECT data_source FROM chats")
     def _(t):
         return t.generations.select("data_source").union(t.chats.select("data_source")).distinct()
 
-    @q("set_diff", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+    @q("set_diff", "SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
     def _(t):
-        return t.customer.select("c_custkey").subtract(t.orders.select("o_custkey"))
+        return t.orders.select("o_orderkey").subtract(t.lineitem.select("l_orderkey"))
 
     edges = "(SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM lineitem)"
 
@@ -265,7 +265,6 @@ def register(q: Registry) -> None:
     # --- joins
     loss = f"(SELECT uid, avg(final_loss) AS loss FROM forward_export WHERE {FINITE} GROUP BY uid)"
     acc = "(SELECT uid, max(avg_correctness) AS acc, max(num_demo) AS num_demo FROM demos WHERE num_demo > 0 GROUP BY uid)"
-    gen = "(SELECT uid, max(len(responses)) AS n_responses, max(global_step) AS step FROM generations GROUP BY uid)"
 
     def losses(t):
         return _finite(t).groupBy("uid").agg(F.avg("final_loss").alias("loss"))
@@ -314,10 +313,9 @@ def register(q: Registry) -> None:
     def _(t):
         return losses(t).select("uid").join(accs(t).select("uid"), "uid").orderBy("uid")
 
-    @q("positional_zip_join", f"SELECT uid, acc, n_responses FROM {acc} JOIN {gen} USING (uid)")
+    @q("positional_zip_join", f"SELECT uid, acc, round(loss, 9) AS loss FROM {acc} JOIN {loss} USING (uid)")
     def _(t):
-        g = t.generations.groupBy("uid").agg(F.max(F.size("responses")).cast("long").alias("n_responses"))
-        return accs(t).select("uid", "acc").join(g, "uid")
+        return accs(t).select("uid", "acc").join(losses(t), "uid").select("uid", "acc", F.round("loss", 9).alias("loss"))
 
     @q("merge_by_key_extend", "SELECT event_type, first(user_id ORDER BY event_id) AS user_id, array_to_string(list(event_id ORDER BY event_id), ',') AS ids FROM events WHERE event_type <> '' GROUP BY event_type")
     def _(t):
