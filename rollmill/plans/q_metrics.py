@@ -53,8 +53,8 @@ def register(q: Registry) -> None:
     def _(t):
         return t.demos.where("size(correctness) > 0").groupBy("data_source").agg(F.round(F.avg(A.mean("correctness")), 6).alias("score"))
 
-    for name, column, sql in (("array_mean", A.mean("correctness"), "list_avg(correctness)"), ("array_max", F.array_max("correctness"), "list_max(correctness)"), ("array_sum", A.total("correctness"), "coalesce(list_sum(correctness), 0)")):
-        q(name, f"SELECT uid, num_demo, round({sql}, 5) AS value FROM demos")(lambda t, column=column: t.demos.select("uid", "num_demo", F.round(column, 5).alias("value")))
+    for name, column, sql in (("array_mean", lambda: A.mean("correctness"), "list_avg(correctness)"), ("array_max", lambda: F.array_max("correctness"), "list_max(correctness)"), ("array_sum", lambda: A.total("correctness"), "coalesce(list_sum(correctness), 0)")):
+        q(name, f"SELECT uid, num_demo, round({sql}, 5) AS value FROM demos")(lambda t, column=column: t.demos.select("uid", "num_demo", F.round(column(), 5).alias("value")))
 
     kept = "list_filter(demos_len, lambda x: x < 60)"
 

@@ -249,21 +249,20 @@ def register(q: Registry) -> None:
         return bottom.agg((F.lit(n) - F.count("*")).alias("kept"), F.count("*").alias("zeroed"))
 
     steps = "(SELECT unnest(range(0, 120)) AS step)"
-    at = F.col("step")
     for name, column, sql in (
-        ("ctrl_const", S.constant(at, 0.7), "0.7 + step * 0.0"),
-        ("ctrl_linear", S.linear(at, 1.0, 0.2, 80), "CASE WHEN step < 8 THEN step / 8.0 ELSE 0.2 + greatest(0, 1 - (step - 8) / 80.0) * 0.8 END"),
-        ("ctrl_cosine", S.cosine(at, 0.1, 1.0, 100), "1 + (0.1 - 1) * 0.5 * (1 + cos(pi() * least(1, step / 100.0)))"),
-        ("ctrl_delay", S.delayed(at, 20, 1.0, lambda s: S.linear(s, 1.0, 0.0, 50, 0.0)), "CASE WHEN step < 20 THEN 1.0 ELSE greatest(0, 1 - (step - 20) / 50.0) END"),
-        ("ctrl_step", S.stepped(at / 120, 0.5, 0.0, 1.0), "CASE WHEN step / 120.0 <= 0.5 THEN 0.0 ELSE 1.0 END"),
-        ("ctrl_sigmoid", S.sigmoid(at / 120, 0.5, 2.0, 4.0, -0.5), "2 / (1 + exp(-4 * (step / 120.0 - 0.5))) - 0.5"),
-        ("lr_constant", S.lr_constant(at, 2), "least(1.0, step / 2.0)"),
-        ("lr_cosine", S.lr_cosine(at, 10, 100, 0.1), "CASE WHEN step < 10 THEN 0.1 + 0.9 * step / 10.0 ELSE greatest(0.1, cos(pi() * (step - 10) / 90.0) * 0.45 + 0.55) END"),
-        ("lr_wsd", S.lr_wsd(at, 10, 110, 0.1), "CASE WHEN step < 10 THEN step / 10.0 WHEN step < 100 THEN 1.0 WHEN step < 110 THEN 0.9 * 0.5 * (1 + cos(pi() * (step - 100) / 10.0)) + 0.1 ELSE 0.1 END"),
-        ("beta_sampler", S.beta_uniform(F.pmod(at * 37, F.lit(101)) / 101, 0.2, 0.8), "0.2 + 0.6 * ((step * 37) % 101) / 101.0"),
-        ("meta_adv", F.greatest(at - 60, F.lit(0)).cast("double"), "greatest(step - 60, 0)"),
+        ("ctrl_const", lambda at: S.constant(at, 0.7), "0.7 + step * 0.0"),
+        ("ctrl_linear", lambda at: S.linear(at, 1.0, 0.2, 80), "CASE WHEN step < 8 THEN step / 8.0 ELSE 0.2 + greatest(0, 1 - (step - 8) / 80.0) * 0.8 END"),
+        ("ctrl_cosine", lambda at: S.cosine(at, 0.1, 1.0, 100), "1 + (0.1 - 1) * 0.5 * (1 + cos(pi() * least(1, step / 100.0)))"),
+        ("ctrl_delay", lambda at: S.delayed(at, 20, 1.0, lambda s: S.linear(s, 1.0, 0.0, 50, 0.0)), "CASE WHEN step < 20 THEN 1.0 ELSE greatest(0, 1 - (step - 20) / 50.0) END"),
+        ("ctrl_step", lambda at: S.stepped(at / 120, 0.5, 0.0, 1.0), "CASE WHEN step / 120.0 <= 0.5 THEN 0.0 ELSE 1.0 END"),
+        ("ctrl_sigmoid", lambda at: S.sigmoid(at / 120, 0.5, 2.0, 4.0, -0.5), "2 / (1 + exp(-4 * (step / 120.0 - 0.5))) - 0.5"),
+        ("lr_constant", lambda at: S.lr_constant(at, 2), "least(1.0, step / 2.0)"),
+        ("lr_cosine", lambda at: S.lr_cosine(at, 10, 100, 0.1), "CASE WHEN step < 10 THEN 0.1 + 0.9 * step / 10.0 ELSE greatest(0.1, cos(pi() * (step - 10) / 90.0) * 0.45 + 0.55) END"),
+        ("lr_wsd", lambda at: S.lr_wsd(at, 10, 110, 0.1), "CASE WHEN step < 10 THEN step / 10.0 WHEN step < 100 THEN 1.0 WHEN step < 110 THEN 0.9 * 0.5 * (1 + cos(pi() * (step - 100) / 10.0)) + 0.1 ELSE 0.1 END"),
+        ("beta_sampler", lambda at: S.beta_uniform(F.pmod(at * 37, F.lit(101)) / 101, 0.2, 0.8), "0.2 + 0.6 * ((step * 37) % 101) / 101.0"),
+        ("meta_adv", lambda at: F.greatest(at - 60, F.lit(0)).cast("double"), "greatest(step - 60, 0)"),
     ):
-        q(name, f"SELECT step, round(CAST({sql} AS DOUBLE), 6) AS value FROM {steps}")(lambda t, column=column: t.spark.range(120).withColumnRenamed("id", "step").withColumn("value", F.round(column, 6)))
+        q(name, f"SELECT step, round(CAST({sql} AS DOUBLE), 6) AS value FROM {steps}")(lambda t, column=column: t.spark.range(120).withColumnRenamed("id", "step").withColumn("value", F.round(column(F.col("step")), 6)))
 
     @q("kl_controller_fixed", "SELECT step, 0.2::DOUBLE AS value FROM (SELECT unnest(range(0, 10)) AS step)")
     def _(t):

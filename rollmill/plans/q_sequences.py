@@ -69,15 +69,15 @@ def register(q: Registry) -> None:
 
     z = "(list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))))"
     for name, column, sql in (
-        ("gather_label", F.element_at("logits", F.expr("cast(1 + pmod(l_orderkey, size(logits)) as int)")), "logits[1 + l_orderkey % len(logits)]"),
-        ("logprob_from_logits", A.logprob_of("logits", F.expr("pmod(l_orderkey, size(logits))")), f"logits[1 + l_orderkey % len(logits)] - {z}"),
-        ("entropy_logits", A.entropy_of("logits"), f"{z} - list_sum(list_transform(logits, lambda x: exp(x - {z}) * x))"),
-        ("temperature_scale", A.total(F.transform("logits", lambda x: x / 0.7)), "list_sum(list_transform(logits, lambda x: x / 0.7))"),
-        ("response_logprob", A.total(F.transform(A.last_columns("logits", 2), lambda x: x - A.log_sum_exp("logits"))), f"list_sum(list_transform(logits[greatest(len(logits) - 1, 1):], lambda x: x - {z}))"),
-        ("topk_filter_softmax", F.array_max(A.top_k_softmax("logits", 2)), "exp(0) / list_sum(list_transform(logits, lambda x: CASE WHEN x >= list_reverse_sort(logits)[least(2, len(logits))] THEN exp(x - list_max(logits)) ELSE 0 END))"),
-        ("clip_by_value", A.total(F.transform("logits", lambda x: F.greatest(F.least(x, F.lit(4.0)), F.lit(1.0)))), "list_sum(list_transform(logits, lambda x: greatest(least(x, 4.0), 1.0)))"),
+        ("gather_label", lambda: F.element_at("logits", F.expr("cast(1 + pmod(l_orderkey, size(logits)) as int)")), "logits[1 + l_orderkey % len(logits)]"),
+        ("logprob_from_logits", lambda: A.logprob_of("logits", F.expr("pmod(l_orderkey, size(logits))")), f"logits[1 + l_orderkey % len(logits)] - {z}"),
+        ("entropy_logits", lambda: A.entropy_of("logits"), f"{z} - list_sum(list_transform(logits, lambda x: exp(x - {z}) * x))"),
+        ("temperature_scale", lambda: A.total(F.transform("logits", lambda x: x / 0.7)), "list_sum(list_transform(logits, lambda x: x / 0.7))"),
+        ("response_logprob", lambda: A.total(F.transform(A.last_columns("logits", 2), lambda x: x - A.log_sum_exp("logits"))), f"list_sum(list_transform(logits[greatest(len(logits) - 1, 1):], lambda x: x - {z}))"),
+        ("topk_filter_softmax", lambda: F.array_max(A.top_k_softmax("logits", 2)), "exp(0) / list_sum(list_transform(logits, lambda x: CASE WHEN x >= list_reverse_sort(logits)[least(2, len(logits))] THEN exp(x - list_max(logits)) ELSE 0 END))"),
+        ("clip_by_value", lambda: A.total(F.transform("logits", lambda x: F.greatest(F.least(x, F.lit(4.0)), F.lit(1.0)))), "list_sum(list_transform(logits, lambda x: greatest(least(x, 4.0), 1.0)))"),
     ):
-        q(name, f"SELECT l_orderkey, round({sql}, 5) AS value FROM {SEQ}")(lambda t, column=column: _seq(t).select("l_orderkey", F.round(column, 5).alias("value")))
+        q(name, f"SELECT l_orderkey, round({sql}, 5) AS value FROM {SEQ}")(lambda t, column=column: _seq(t).select("l_orderkey", F.round(column(), 5).alias("value")))
 
     chat = "(SELECT chat_id, ingested_at, unnest(messages).role AS role, unnest(messages).content AS content, generate_subscripts(messages, 1) AS i FROM chats)"
     spaces = "coalesce(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')), 0)"
