@@ -274,16 +274,17 @@ def _search(tests: TestTexts, piece: list[tuple[int, int, str]]) -> list[tuple]:
         key, number, text = piece[m]
         base = int(starts[m])
         test, test_base = tests.texts[text_no], int(tests.starts[text_no])
-        most = max(1, tests.edits) * max(1, -(-(s_end - s) // tests.least))
-        edits = tests.aligned(text[p - base : p_end - base], test[s - test_base : s_end - test_base], most)
-        if edits is None:
-            continue
-        windows = tests.window_set(text_no)
         # the region and, on either side, the rest of the words that it cuts
         left = max(0, text.rfind(" ", 0, max(0, p - base - tests.q)) + 1)
         right = text.find(" ", p_end - base + tests.q)
         words = text[left : right if right >= 0 else len(text)].split(" ")
-        run = longest_run(words, tests.words[text_no], tests.run_words, windows)
+        run = longest_run(words, tests.words[text_no], tests.run_words, tests.window_set(text_no))
+        most = max(1, tests.edits) * max(1, -(-(s_end - s) // tests.least))
+        edits = tests.aligned(text[p - base : p_end - base], test[s - test_base : s_end - test_base], most)
+        if edits is None:
+            if not run:
+                continue
+            edits = 0  # the region as a whole doesn't align, the run within it does
         label = (key, *tests.labels[text_no], number)
         row = (*label, p_end - p, edits, run)
         if label not in best or (row[6], row[4]) > (best[label][6], best[label][4]):

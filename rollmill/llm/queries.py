@@ -78,8 +78,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p4_percentiles, p4_partials, p4_bounds, p5_found, p5_passages, p5_sources, p6_ids, p7_mix, p7_shares, p8_found, p8_hosts)}
 
 
+#: Words, links and groups of chats by joining every pair that shares a word; for small tables.
+_GROUPS = r"""
+    WITH RECURSIVE m AS (SELECT chat_id, unnest(messages) AS m FROM chats),
+    w AS (SELECT DISTINCT chat_id, unnest(regexp_extract_all(lower(m.content), '[\p{L}\p{N}]+')) AS w FROM m WHERE coalesce(m.role, '') <> 'system' AND m.content IS NOT NULL),
+    n AS (SELECT chat_id, count(*) AS n FROM w GROUP BY chat_id),
+    c AS (SELECT a.chat_id AS a, b.chat_id AS b, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.chat_id < b.chat_id GROUP BY a.chat_id, b.chat_id),
+    l AS (SELECT c.a, c.b FROM c JOIN n p ON p.chat_id = c.a JOIN n r ON r.chat_id = c.b WHERE 10 * c >= 7 * (p.n + r.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _GROUPS + " SELECT DISTINCT node AS chat_id_a, other AS chat_id_b FROM r WHERE node < other",
+        "p1_groups": _GROUPS + " SELECT n.chat_id, coalesce(min(r.other), n.chat_id) AS root FROM n LEFT JOIN r ON r.node = n.chat_id GROUP BY n.chat_id",
         "p4_percentiles": """
             WITH v AS (
               SELECT data_source, 'final_loss' AS metric, final_loss AS x FROM forward_export
