@@ -1,4 +1,5 @@
-"""Columns over token arrays: padding, truncation, masks, positions and scans, all as expressions within a row.
+"""Columns over token arrays: padding, truncation, masks, positions and scans, as expressions within a row (scans in Arrow
+batches).
 
 Null arrays give null unless a function says otherwise.
 """
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rollmill.functions import scans
+
 ColumnOrName = Column | str
 
 
@@ -93,48 +96,19 @@ def strip_left(ids: ColumnOrName, pad_id: int) -> Column:
 
 def position_ids(mask: ColumnOrName) -> Column:
     """Running count of real tokens less 1, at least 0."""
-    m = _col(mask)
-    counts = F.aggregate(m, F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x)))
-    return F.transform(counts, lambda x: F.greatest(x - 1, F.lit(0)))
-
-
-def running_sum(array: ColumnOrName) -> Column:
-    """Sums from the start up to each element, in one fold."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
-
-    def step(state, x):
-        now = state["sum"] + x.cast("double")
-        return F.struct(now.alias("sum"), F.concat(state["out"], F.array(now)).alias("out"))
-
-    return F.aggregate(_col(array), start, step, lambda s: s["out"])
+    return F.transform(scans.running_sum(_col(mask)), lambda x: F.greatest(x.cast("int") - 1, F.lit(0)))
 
 
 def suffix_sum(array: ColumnOrName) -> Column:
-    return F.reverse(running_sum(F.reverse(_col(array))))
+    return scans.suffix_sum(_col(array))
 
 
 def discounted_suffix_sum(rewards: ColumnOrName, mask: ColumnOrName, gamma: float) -> Column:
-    """g[t] = r[t] + gamma g[t+1], set back to 0 after each step whose mask is 0."""
-    both = F.reverse(F.arrays_zip(_col(rewards).alias("r"), _col(mask).alias("m")))
-    start = F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-
-    def step(state, x):
-        now = x["r"].cast("double") + gamma * state["g"]
-        return F.struct((now * x["m"]).alias("g"), F.concat(state["out"], F.array(now)).alias("out"))
-
-    return F.reverse(F.aggregate(both, start, step, lambda s: s["out"]))
+    return scans.discounted_suffix_sum(_col(rewards), _col(mask), gamma)
 
 
 def gae(rewards: ColumnOrName, values: ColumnOrName, gamma: float, lam: float) -> Column:
-    """Generalised advantage estimates before whitening, from the last token to the first; the value after the last is 0."""
-    both = F.reverse(F.arrays_zip(_col(rewards).alias("r"), _col(values).alias("v")))
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-
-    def step(state, x):
-        now = x["r"] + gamma * state["next"] - x["v"] + gamma * lam * state["g"]
-        return F.struct(x["v"].cast("double").alias("next"), now.alias("g"), F.concat(state["out"], F.array(now)).alias("out"))
-
-    return F.reverse(F.aggregate(both, start, step, lambda s: s["out"]))
+    return scans.gae(_col(rewards), _col(values), gamma, lam)
 
 
 def log_sum_exp(logits: ColumnOrName) -> Column:

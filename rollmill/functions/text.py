@@ -123,11 +123,22 @@ def reflection_count(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in REFLECTION_MARKS])
 
 
+def with_value(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once; inside a lambda an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def ngram_penalty(text: Column, n: int, most: float) -> Column:
     """(1 - distinct share of the word n-grams, lower-cased) times ``most``; 0 for fewer than n words."""
+
+    def grams(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def share(found: Column) -> Column:
+        return (1 - F.size(F.array_distinct(found)) / F.size(found)) * most
+
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, 0.0).otherwise((1 - F.size(F.array_distinct(grams)) / F.size(grams)) * most)
+    return with_value(words, lambda w: F.when(F.size(w) < n, 0.0).otherwise(with_value(grams(w), share)))
 
 
 def code_block(text: Column, language: str = "python") -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollmill.functions import text as T
 from rollmill.functions import text_udf as U
+from rollmill.operators import rewards as R
 from rollmill.plans.registry import Registry
 
 RESP = "(SELECT uid, i, r, truth FROM (SELECT uid, ingested_at, generate_subscripts(responses, 1) - 1 AS i, unnest(responses) AS r, reward_model.ground_truth AS truth FROM generations) WHERE r IS NOT NULL)"
@@ -100,6 +101,33 @@ def register(q: Registry) -> None:
     score("rm_prefix", lambda: F.when(F.length(c.r) >= 400, T.graded(T.number_strict(T.after_think(c.r)), c.truth)).otherwise(T.graded(T.number_strict(c.r), c.truth)), f"CASE WHEN length(r) >= 400 THEN CASE WHEN replace(regexp_extract(regexp_extract(r, '(?s)<think>.*?</think>(.*)', 1), '#### (-?[0-9.,]+)', 1), ',', '') = truth THEN 1.0 ELSE 0.0 END WHEN {STRICT} = truth THEN 1.0 ELSE 0.0 END::DOUBLE")
     score("rm_batch", lambda: F.when(U.answers_equal(T.number_flexible(c.r), T.number_flexible(c.r)), 1.0).otherwise(0.0), "1.0::DOUBLE")
 
+    def rows(t):
+        return t.generations.select("uid", F.posexplode("responses").alias("i", "r"), F.col("reward_model.ground_truth").alias("truth")).where("r IS NOT NULL")
+
+    @q("rm_loader", f"SELECT uid, i::INTEGER AS i, CASE WHEN {STRICT} = truth THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM {RESP}")
+    def _(t):
+        return R.with_rewards(rows(t), "gsm8k", "r", "truth").select("uid", "i", "score")
+
+    @q("rm_prime", f"SELECT uid, i::INTEGER AS i, CASE WHEN length(r) % 5 = 0 THEN 0.0 ELSE length(r) END::DOUBLE AS score FROM {RESP}")
+    def _(t):
+        def score_of(response, truth):
+            if len(response) % 5 == 0:
+                raise ValueError("can't be graded")
+            return len(response)
+
+        return rows(t).select("uid", "i", R.by_row(score_of, F.col("r"), F.col("truth"), seconds=20.0).alias("score"))
+
+    @q("rm_async", f"SELECT uid, i::INTEGER AS i, length(r)::INTEGER AS n, CASE WHEN {BOX} = truth THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM {RESP}")
+    def _(t):
+        # a score of its own plan, joined when it is needed; repeated rows have one
+        keyed = rows(t).dropDuplicates(["uid", "i"])
+        scores = R.with_rewards(keyed, "boxed", "r", "truth").select("uid", "i", "score")
+        return rows(t).join(scores, ["uid", "i"]).select("uid", "i", F.length("r").alias("n"), "score")
+
+    @q("custom_reward", f"SELECT uid, i::INTEGER AS i, (length(r) * 2)::DOUBLE AS score FROM {RESP}")
+    def _(t):
+        return rows(t).select("uid", "i", R.by_batch(lambda responses, truths: [2 * len(x) for x in responses], F.col("r"), F.col("truth")).alias("score"))
+
     @q("rm_passthrough", "SELECT uid, avg_correctness AS rm_scores FROM demos WHERE num_demo > 0")
     def _(t):
         x = t.demos.where("num_demo > 0").withColumn("rm_scores", F.col("avg_correctness"))

@@ -89,6 +89,19 @@ def register(q: Registry) -> None:
     def _(t):
         return t.spark.createDataFrame([(p, n[0]) for p, n in B.admitted({"actor": 6, "critic": 4}, {"a": 8, "b": 4}).items()], "pool string, node string")
 
+    @q("future_wait_any", "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+    def _(t):
+        # results are taken one partition after the other; there are as many as event types
+        means = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+        return t.spark.createDataFrame([tuple(r) for r in means.toLocalIterator()], means.schema)
+
+    @q("trajectory_dump", "SELECT 'step_0' AS name, count(*) AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'step_1', count(*) FROM events WHERE event_id % 2 = 1")
+    def _(t):
+        path = _folder(t)
+        for step in (0, 1):
+            t.events.where(f"event_id % 2 = {step}").select(F.lit(f"step_{step}").alias("name"), "event_id", "value").write.mode("append").parquet(path)
+        return t.spark.read.parquet(path).groupBy("name").agg(F.count("*").alias("n"))
+
     @q("global_concurrency", "SELECT count(*) AS n FROM events")
     def _(t):
         return t.events.coalesce(2).mapInPandas(lambda frames: frames, t.events.schema).agg(F.count("*").alias("n"))
