@@ -144,9 +144,9 @@ def register(q: Registry) -> None:
         m AS (SELECT event_type, 'mean@' || n AS name, mean AS value FROM g UNION ALL SELECT event_type, 'std@' || n, std FROM g WHERE n > 1
           UNION ALL SELECT event_type, 'best@' || k || '/mean', list_sum(list_transform(v, lambda x, i: x * (pow(i / n::DOUBLE, k) - pow((i - 1) / n::DOUBLE, k)))) FROM k
           UNION ALL SELECT event_type, 'worst@' || k || '/mean', list_sum(list_transform(v, lambda x, i: x * (pow((n - i + 1) / n::DOUBLE, k) - pow((n - i) / n::DOUBLE, k)))) FROM k)
-        SELECT event_type, name, round(avg(value), 5) AS value FROM m GROUP BY event_type, name""")
+        SELECT event_type, name, round(avg(value), 9) AS value FROM m GROUP BY event_type, name""")
     def _(t):
-        return M.validation(t.events, "event_type", "user_id", "value", "event_id").select("event_type", "name", F.round("value", 5).alias("value"))
+        return M.validation(t.events, "event_type", "user_id", "value", "event_id").select("event_type", "name", F.round("value", 9).alias("value"))
 
     @q("best_of_k", "SELECT l_orderkey, round(list_sum(list_transform(v, lambda x, i: x * (pow(i / len(v)::DOUBLE, 3) - pow((i - 1) / len(v)::DOUBLE, 3)))), 5) AS best3 FROM (SELECT l_orderkey, list(l_quantity ORDER BY l_quantity) AS v FROM lineitem GROUP BY 1)")
     def _(t):

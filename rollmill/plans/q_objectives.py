@@ -24,7 +24,7 @@ def _lines(t):
 
 
 def _out(df, *columns):
-    return df.select(*LINES, *(F.round(c, 5).alias(c) for c in columns))
+    return df.select(*LINES, *((F.round(c, 5) + 0.0).alias(c) for c in columns))
 
 
 def _tokens(t):
@@ -66,7 +66,7 @@ def register(q: Registry) -> None:
     }
     for kind, (own, base) in kinds.items():
         name = {"grpo": "adv_grpo_prefix", "dr_grpo": "adv_dr_grpo_prefix", "dr_grpo_v2": "adv_dr_grpo_prefix_v2"}[kind]
-        sql = f"""SELECT {LINE}, round(a, 5) AS advantage, round(CASE WHEN f = '{V.SENTINEL}' THEN 0 ELSE (a - b) / 4 END, 5) AS prefix_advantage
+        sql = f"""SELECT {LINE}, round(a, 5) + 0.0::DOUBLE AS advantage, round(CASE WHEN f = '{V.SENTINEL}' THEN 0 ELSE (a - b) / 4 END, 5) + 0.0::DOUBLE AS prefix_advantage
         FROM (SELECT *, {flag} AS f, {own} AS a, {base} AS b FROM lineitem WINDOW p AS (PARTITION BY l_orderkey, {flag}), u AS (PARTITION BY l_orderkey))"""
         q(name, sql)(lambda t, kind=kind: _out(V.prefixed(_lines(t), "score", "l_orderkey", "prefix_uid", 4, kind), "advantage", "prefix_advantage"))
     q("group2_prefix", f"""SELECT {LINE}, round(l_quantity - avg(l_quantity) OVER p, 5) AS advantage FROM lineitem WINDOW p AS (PARTITION BY l_orderkey, {flag})""")(

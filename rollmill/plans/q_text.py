@@ -61,7 +61,7 @@ def register(q: Registry) -> None:
     score("reasoning_steps", lambda: T.reasoning_steps(c.r), "least(1.0, len(regexp_extract_all(r, '(Step \\d+:|^\\d+\\.|\\n-|\\n\\*|First,|Second,|Next,|Finally,)')) / 3.0)::DOUBLE")
     score("reflection_count", lambda: T.reflection_count(F.lower(c.r)), "(len(regexp_extract_all(lower(r), 'wait,')) + len(regexp_extract_all(lower(r), 'recheck[,\\s]')) + len(regexp_extract_all(lower(r), 'retry')) + len(regexp_extract_all(lower(r), 'alternatively,')) + len(regexp_extract_all(lower(r), 'however,')))::INTEGER", "n")
     grams = f"list_transform(range(1, greatest(len({WORDS}), 2)), lambda i: array_to_string({WORDS}[i:i + 1], ' '))"
-    score("ngram_repeat_penalty", lambda: F.round(T.ngram_penalty(c.r, 2, -1.0), 6), f"round(CASE WHEN len({WORDS}) < 2 THEN 0 ELSE (1 - len(list_distinct({grams})) / len({grams})::DOUBLE) * -1 END, 6)")
+    score("ngram_repeat_penalty", lambda: F.round(T.ngram_penalty(c.r, 2, -1.0), 6) + 0.0, f"round(CASE WHEN len({WORDS}) < 2 THEN 0 ELSE (1 - len(list_distinct({grams})) / len({grams})::DOUBLE) * -1 END, 6) + 0.0::DOUBLE")
     score("after_think", lambda: T.after_think(F.concat(F.lit("<think>a</think>"), c.r)), "trim(r, ' ' || chr(9) || chr(10) || chr(13))", "answer")
     score("after_think_reward", lambda: F.when(T.number_strict(T.after_think(F.concat(F.lit("<think>a</think> "), c.r))) == c.truth, 1.0).otherwise(0.0), f"CASE WHEN {STRICT} = truth THEN 1.0 ELSE 0.0 END::DOUBLE")
     score("assistant_span", lambda: T.assistant_span(F.concat(F.lit("<|a|>x<|e|><|a|>"), c.r, F.lit("<|e|>")), "<|a|>", "<|e|>"), "r", "answer")
