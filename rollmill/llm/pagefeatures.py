@@ -34,12 +34,14 @@ def kind_of(line: str, words: list[str], functions: int) -> int:
     share = functions / n
     first = line.lstrip()[:1]
     if _LINK.search(line):
-        return LINKS if share < 0.12 else PROSE
+        return LINKS if share < 0.2 else PROSE
     if first == "#" and line.lstrip().lstrip("#")[:1] == " " and n <= 14:
         return MATTER  # heading
     if first == "|":
         return MATTER  # table
     if share >= 0.12 and n >= 4:
+        if n >= 15 and len(FUNCTION_WORDS.intersection(words)) <= 2:
+            return KEYWORDS  # the same one or two over and over: a phrase that holds them is repeated
         if functions >= 2 or share >= 0.2 or len(set(words)) > 0.7 * n:
             return PROSE
     if words[0][0] == "#" and sum(w[0] == "#" for w in words) > 0.6 * n:
