@@ -67,6 +67,16 @@ def kind_of(line: str, words: list[str], functions: int) -> int:
     return KEYWORDS
 
 
+def is_sentence(words: list[str]) -> bool:
+    """Whether the words read as a sentence: several different function words, or one among few words that don't repeat."""
+    different = len(FUNCTION_WORDS.intersection(words))
+    n = len(words)
+    varied = len(set(words)) > 0.7 * n
+    if different >= 3 or different == 2 and (n < 15 or varied):
+        return True
+    return different == 1 and n < 20 and varied
+
+
 def page_features(text: str) -> tuple[int, list[float]]:
     """Number of blank-separated words, and the features named in ``NAMES``."""
     counts = [0] * 7
@@ -99,8 +109,7 @@ def page_features(text: str) -> tuple[int, list[float]]:
             for sentence in _SENTENCES.split(line):
                 own = sentence.lower().split()
                 if own:
-                    few = sum(map(FUNCTION_WORDS.__contains__, own))
-                    counts[PROSE if few >= 2 or few and (few >= 0.2 * len(own) or kind == PROSE) and len(set(own)) > 0.8 * len(own) and "for you" not in sentence else KEYWORDS if kind == KEYWORDS else kind_of(sentence, own, few)] += len(own)
+                    counts[PROSE if is_sentence(own) and "for you" not in sentence else KEYWORDS if kind == KEYWORDS else kind_of(sentence, own, sum(map(FUNCTION_WORDS.__contains__, own)))] += len(own)
         else:
             counts[kind] += n
         if kind == SHORT:
