@@ -16,11 +16,11 @@ intersected before anything is verified:
   ``BANDS`` keys each join the first frequent word under ``DEPTH`` orders by hash.
 
 Links between short records are found with certainty, and so are those of the first kind between records whose numbers of
-rare words differ by at most a factor of ``UNEVEN``. Other links are found by the second kind of key, with probability
-1 - (1 - s ** DEPTH) ** BANDS for a similarity of s in the frequent words: 0.988 for 0.8, which a 0.7 link has that shares a
-third of a dozen rare words, and 0.83 for 0.72, the least for records with hardly any rare words. Candidates then meet the
-size filter and the parity filter (words hashed to bits; the bits that differ bound the words that differ from below), and
-those left are verified on their sets of words.
+rare words differ by at most a factor of ``UNEVEN``. Other links are found by the second kind of key only with probability
+1 - (1 - s ** DEPTH) ** BANDS for a similarity of s in the frequent words (0.76 for 0.7). Therefore the keys only tell what
+is connected at once; a second pass then compares all records of different components (``across``), so that every link
+that connects anything is found with certainty. Candidates meet the size filter and the parity filter (words hashed to bits;
+the bits that differ bound the words that differ from below), and those left are verified on their sets of words.
 
 Any fixed order keeps the result exact, so word frequencies may be estimated: counts of 2**20 hash buckets, a broadcast of
 fixed size (1 MB as logarithms).
@@ -53,7 +53,7 @@ LEVELS = ((96, 32), (48, 16), (24, 8), (12, 4), (6, 2), (2, 1))
 UNEVEN = 0.6
 BANDS, DEPTH = 24, 8
 #: Records of one key up to which all are compared, rows of one key held by a task, and records of a side of a cell.
-FULL_GROUP, HELD, BLOCK = 512, 4096, 1024
+FULL_GROUP, HELD, BLOCK = 512, 4096, 8192
 PARITY_WORDS = 4
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -236,15 +236,16 @@ def near_links(records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``a, b`` (``a < b``): links of ``records`` (``key, words``) that connect all records which links connect. A key with
     several sets is linked if one is.
 
-    Records that share a key are compared with each other while they are few. A key of more than ``FULL_GROUP`` records links
-    neighbours by size first; what these links connect is then known, and only records of different components are compared,
-    in cells of bounded size (``across``). So a third of all records being near-copies costs no pairs within that third, and
-    nothing is left out.
+    Records that share a key are compared with each other while they are few; a key of more than ``FULL_GROUP`` records links
+    neighbours by size. What these links connect is then known, and all records of different components are compared, in
+    cells of bounded size (``across``). So a third of all records being near-copies costs no verified pairs within that third,
+    and nothing is left out.
     """
     spark = records.sparkSession
     limit = Fraction(str(threshold))
     counted = _bucket_counts(records)
-    rare_log = _log_of(max(2, records.count() // RARE))
+    n_records = records.count()
+    rare_log = _log_of(max(2, n_records // RARE))
     frequency, most_ratio = spark.sparkContext.broadcast(counted), float(1 / limit) + 1e-9
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,20 +259,16 @@ def near_links(records: DataFrame, threshold: float = 0.7) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["share", "key", "size"])
 
     shares = records.select("key", "words").mapInArrow(emit, "share long, key long, size int")
-    met = cut_lineage(shares.repartition("share").sortWithinPartitions("share", "size").mapInArrow(_meeting(most_ratio), "a long, b long, share long"))
+    met = shares.repartition("share").sortWithinPartitions("share", "size").mapInArrow(_meeting(most_ratio), "a long, b long")
     sketch = records.select("key", "words").mapInArrow(_parities, "key long, n int, bits array<long>")
-    links = _verified(met.where("share IS NULL").select("a", "b").distinct(), records, sketch, limit)
-    large = met.where("share IS NOT NULL").select("share", F.col("a").alias("key")).distinct()
-    if large.isEmpty():
-        return links
-    links = cut_lineage(links)
-    return links.unionByName(_verified(across(large, components(links), sketch, limit), records, None, limit))
+    links = cut_lineage(_verified(met.distinct(), records, sketch, limit))
+    return links.unionByName(_verified(across(sketch, components(links), n_records, limit), records, None, limit))
 
 
 def _meeting(most_ratio: float):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by share and size: pairs that share a key, and for large keys neighbours (``share`` null) and the
-        records themselves (``b`` null). Of the current key at most ``HELD`` rows are held."""
+        """Of rows sorted by share and size: pairs that share a key, and for large keys neighbours. Of the current key at most
+        ``HELD`` rows are held."""
         held, large = None, None
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
@@ -316,8 +313,6 @@ def _meeting(most_ratio: float):
         for start, end in zip(starts[many].tolist(), ends[many].tolist()):
             at = np.arange(start, end)
             add(at[:-1], at[1:])
-            n = end - start
-            yield pa.RecordBatch.from_arrays([pa.array(ids[start:end]), pa.nulls(n, pa.int64()), pa.array(share[start:end])], ["a", "b", "share"])
         if out:
             yield _candidates(out)
 
@@ -326,7 +321,7 @@ def _meeting(most_ratio: float):
 
 def _candidates(out: list[np.ndarray]) -> pa.RecordBatch:
     distinct = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(distinct[0]), pa.array(distinct[1]), pa.nulls(distinct.shape[1], pa.int64())], ["a", "b", "share"])
+    return pa.RecordBatch.from_arrays([pa.array(distinct[0]), pa.array(distinct[1])], ["a", "b"])
 
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,46 +354,56 @@ def _verified(candidates: DataFrame, records: DataFrame, sketch: DataFrame | Non
     return kept.join(words_of("a"), "a").join(words_of("b"), "b").where(linked("words_a", "words_b")).select("a", "b").distinct()
 
 
-def across(large: DataFrame, roots: DataFrame, sketch: DataFrame, limit: Fraction) -> DataFrame:
-    """``a, b``: pairs of records that share a large key, lie in different components and meet the size and parity filters.
+def across(sketch: DataFrame, roots: DataFrame, n_records: int, limit: Fraction) -> DataFrame:
+    """``a, b``: all pairs of records that lie in different components and meet the size and parity filters.
 
-    The records of a key's largest component aren't compared with each other. The others, and these with the others, are, in
-    cells of at most some ``2 * BLOCK`` records.
+    Records are dealt into blocks of some ``BLOCK``; a cell holds one block or two. Comparisons grow with the square of the
+    number of records and each is a few operations on bits; the rows moved are ``n_records / BLOCK`` times the records.
     """
-    labelled = cut_lineage(large.join(roots.withColumnRenamed("node", "key"), "key", "left").select("share", "key", F.coalesce("root", "key").alias("root")))
-    sizes = labelled.groupBy("share", "root").agg(F.count("*").alias("n"))
-    keys = sizes.groupBy("share").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("components")).where("components > 1")
-    rows = labelled.join(keys, "share").join(sketch, "key")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    is_main = F.col("root") == F.col("main")
-    main_blocks, other_blocks = blocks(F.col("n_main")), blocks(F.col("n_all") - F.col("n_main"))
-    own = F.pmod(F.xxhash64("key"), F.when(is_main, main_blocks).otherwise(other_blocks)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    with_main = F.when(is_main, F.transform(upto(other_blocks), lambda j: F.struct(F.lit(True).alias("m"), own.alias("i"), j.alias("j")))).otherwise(
-        F.concat(
-            F.transform(upto(main_blocks), lambda i: F.struct(F.lit(True).alias("m"), i.alias("i"), own.alias("j"))),
-            F.transform(upto(other_blocks), lambda j: F.struct(F.lit(False).alias("m"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))),
-        )
-    )
+    blocks = max(1, ceil(n_records / BLOCK))
     bits = [F.col("bits")[i].alias(f"b{i}") for i in range(PARITY_WORDS)]
-    cells = rows.select("share", F.explode(with_main).alias("cell"), "key", "root", "n", *bits).select("share", "cell.*", "key", "root", "n", *(f"b{i}" for i in range(PARITY_WORDS)))
-    share = float(limit / (1 + limit))
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("own")
+    rows = sketch.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "n", *bits, own)
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    cells = rows.select("*", others).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("right", F.col("own") == F.col("j")).drop("own", "other")
+    cells = cells.repartition(min(2000, blocks * (blocks + 1) // 2), "i", "j")
+    ratio = limit / (1 + limit)
+
+    def most(n_both):
+        return n_both - 2 * (-(-ratio.numerator * n_both // ratio.denominator))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, root, n = (pdf[c].to_numpy() for c in ("key", "root", "n"))
-        parity = pdf[[f"b{i}" for i in range(PARITY_WORDS)]].to_numpy().astype(np.int64).view(np.uint64)
+        pdf = pdf.sort_values("n", kind="stable")
+        key, root, n = (pdf[c].to_numpy(np.int64) for c in ("key", "root", "n"))
+        parity = [np.ascontiguousarray(pdf[f"b{i}"].to_numpy(np.int64)).view(np.uint64) for i in range(PARITY_WORDS)]
+        alone = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
+        is_right = pdf["right"].to_numpy(bool)
+        left, right = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(~is_right), np.flatnonzero(is_right))
+        keys, roots_, sizes, columns = key[right], root[right], n[right], [p[right] for p in parity]
+        least, largest = (-(-n[left] * limit.numerator // limit.denominator), n[left] * limit.denominator // limit.numerator)
+        starts = np.arange(1, len(left) + 1) if alone else np.searchsorted(sizes, least)
         a, b = [], []
-        for x in range(len(pdf) - 1):
-            y = slice(x + 1, None)
-            both = n[x] + n[y]
-            most = both - 2 * np.ceil(share * both - 1e-9)
-            near = (root[y] != root[x]) & (np.bitwise_count(parity[y] ^ parity[x]).sum(axis=1, dtype=np.int64) <= most)
-            found = key[y][near]
-            a.append(np.minimum(found, key[x]))
-            b.append(np.maximum(found, key[x]))
+        for x, start, end in zip(left.tolist(), starts.tolist(), np.searchsorted(sizes, largest, "right").tolist()):
+            if start >= end:
+                continue
+            # the first three words differ in at most 192 bits, which a byte holds
+            differing = np.bitwise_count(columns[0][start:end] ^ parity[0][x])
+            for i in range(1, 3):
+                differing += np.bitwise_count(columns[i][start:end] ^ parity[i][x])
+            at = np.flatnonzero(differing <= min(255, most(int(n[x]) + int(sizes[end - 1]))))
+            if not len(at):
+                continue
+            y = at + start
+            total = differing[at].astype(np.int64)
+            for i in range(3, PARITY_WORDS):
+                total += np.bitwise_count(columns[i][y] ^ parity[i][x])
+            y = y[(roots_[y] != root[x]) & (total <= most(n[x] + sizes[y]))]
+            if len(y):
+                a.append(np.minimum(keys[y], key[x]))
+                b.append(np.maximum(keys[y], key[x]))
         return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
 
-    return cells.groupBy("share", "m", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return cells.groupBy("i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_groups(chats: DataFrame, key: str = "chat_id", text: Column | None = None, threshold: float = 0.7) -> DataFrame:

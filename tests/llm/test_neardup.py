@@ -88,6 +88,22 @@ def test_large_keys(spark, monkeypatch, full, held, block):
     assert got == brute(texts)
 
 
+def test_weakest_links_between_records_without_rare_words(spark, monkeypatch):
+    """Pairs of exactly 0.7 that share only frequent words: each band key finds one with a probability of 0.06."""
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    texts, groups = [], 40
+    halves = []
+    for g in range(groups):
+        words = [f"g{g}w{i}" for i in range(100)]
+        texts += [(2 * g, " ".join(words[:85])), (2 * g + 1, " ".join(words[:70] + words[85:]))]
+        halves.append((words[::2], words[1::2]))
+    for g in range(groups):  # every word in three records at least
+        after = halves[(g + 1) % groups]
+        texts += [(1000 + 2 * g, " ".join(halves[g][0] + after[1])), (1001 + 2 * g, " ".join(halves[g][1] + after[0]))]
+    got = {r.chat_id: r.root for r in neardup.near_groups(chats(spark, texts)).collect()}
+    assert got == brute(texts) and all(got[2 * g + 1] == 2 * g for g in range(groups))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     roots = {r.node: r.root for r in neardup.components(edges).collect()}
