@@ -70,8 +70,8 @@ def value_of(text: str) -> Fraction | None:
     return None if bottom and not int(bottom) else Fraction(top) / int(bottom or 1)
 
 
-def same_answer(answer: str | None, truth: str | None, relative: float = 1e-4) -> bool:
-    """Tiers: equal plain LaTeX, equal numbers (also times or over 100), then pairs and tuples element by element. Symbolic
+def same_answer(answer: str | None, truth: str | None, relative: float = 1e-4, percent: bool = True) -> bool:
+    """Tiers: equal plain LaTeX, equal numbers (with ``percent`` also times or over 100), then pairs and tuples element by element. Symbolic
     algebra isn't attempted."""
     if answer is None or truth is None:
         return answer is truth
@@ -80,11 +80,48 @@ def same_answer(answer: str | None, truth: str | None, relative: float = 1e-4) -
         return True
     if a[:1] in "([" and b[:1] in "([" and a[-1:] in ")]" and b[-1:] in ")]" and (a[0], a[-1]) == (b[0], b[-1]):
         x, y = a[1:-1].split(","), b[1:-1].split(",")
-        return len(x) == len(y) and all(same_answer(p, q, relative) for p, q in zip(x, y))
+        return len(x) == len(y) and all(same_answer(p, q, relative, percent) for p, q in zip(x, y))
     p, q = value_of(a), value_of(b)
     if p is None or q is None:
         return False
-    return any(abs(p - r) <= Fraction(relative) * max(abs(p), abs(r)) for r in (q, q / 100, q * 100))
+    return any(abs(p - r) <= Fraction(relative) * max(abs(p), abs(r)) for r in ((q, q / 100, q * 100) if percent else (q,)))
+
+
+def boxed_reward(response: str, truth: str) -> bool:
+    """The last box against the truth."""
+    answer = unboxed(boxed(response))
+    return answer is not None and same_answer(answer, truth)
+
+
+def answer_tag_reward(response: str, truth: str, opening: str = "</think> <answer>") -> bool:
+    """What the last answer tag holds, or its box. ``opening`` must occur: the strict form wants the tag right after the
+    think block, the ORZ form ("<answer>") anywhere."""
+    if opening not in response or "</answer>" not in response:
+        return False
+    answer = response.split("<answer>")[-1].replace("</answer>", "")
+    return boxed_reward(answer, truth) if "\\boxed" in answer else same_answer(answer.strip(), truth)
+
+
+def after_think_boxed_reward(response: str, truth: str) -> bool:
+    """The box after the first closed think block."""
+    found = re.search(r"<think>.*?</think>(.*)", response, re.DOTALL)
+    return found is not None and boxed_reward(found[1].strip(), truth)
+
+
+def step_reward(response: str, truth: str, step: int, after: int) -> bool:
+    """From step ``after`` on only what follows the think block counts."""
+    return (after_think_boxed_reward if step >= after else boxed_reward)(response, truth)
+
+
+def verified_reward(response: str, truth: str) -> bool:
+    """The last box, else the number after the first "#### ", else the last formula, else the last number."""
+    answer = unboxed(boxed(response))
+    if answer is None and (marked := re.search(r"#### (-?[0-9.,]+)", response)):
+        answer = marked[1].replace(",", "")
+    if answer is None:
+        formulas = re.findall(r"\$\$(.+?)\$\$|\$(.+?)\$|\\\((.+?)\\\)|\\\[(.+?)\\\]", response, re.DOTALL)
+        answer = next(x for x in formulas[-1] if x).strip() if formulas else next(iter(re.findall(r"-?\d[\d,]*(?:\.\d+)?(?:/\d+)?%?", response)[-1:]), None)
+    return answer is not None and same_answer(answer, truth, percent=False)
 
 
 def repeated_share(text: str | None) -> float:
@@ -148,6 +185,16 @@ def repeatness(texts: Column) -> Column:
     return _of_texts(repeated_share, "double", texts)
 
 
+def rewarded(function, responses: Column, truths: Column) -> Column:
+    """1 where ``function`` of response and truth holds, else 0; a null truth is never met, a null response has no score."""
+
+    @F.pandas_udf("double")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else float(t is not None and function(r, t)) for r, t in zip(left, right)], dtype="float64")
+
+    return run(responses, truths)
+
+
 def answers_equal(answers: Column, truths: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:

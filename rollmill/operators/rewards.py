@@ -19,9 +19,22 @@ SCORERS: dict[str, Callable[[Column, Column], Column]] = {
     "minerva": lambda response, truth: text.dapo_score(response, truth)["score"],
     "boxed": lambda response, truth: F.when(text.simple_boxed(response) == truth, 1.0).otherwise(0.0),
     "boxed_any": lambda response, truth: F.when(text_udf.answers_equal(text_udf.boxed_answer(response), truth), 1.0).otherwise(0.0),
+    "math_batch": lambda response, truth: text_udf.rewarded(text_udf.boxed_reward, response, truth),
+    "dr_grpo_boxed": lambda response, truth: text_udf.rewarded(text_udf.boxed_reward, response, truth),
+    "dr_grpo_answer_tag": lambda response, truth: text_udf.rewarded(text_udf.answer_tag_reward, response, truth),
+    "dr_grpo_answer_tag_orz": lambda response, truth: text_udf.rewarded(partial(text_udf.answer_tag_reward, opening="<answer>"), response, truth),
+    "openr1": lambda response, truth: text_udf.rewarded(text_udf.boxed_reward, response, truth),
+    "openr1_after_think": lambda response, truth: text_udf.rewarded(text_udf.after_think_boxed_reward, response, truth),
+    "luffy": lambda response, truth: text_udf.rewarded(text_udf.verified_reward, response, truth),
+    "math_verify": lambda response, truth: text_udf.rewarded(text_udf.verified_reward, response, truth),
 }
 
 
+def openr1_step(response: Column, truth: Column, step: int, after: int) -> Column:
+    """``openr1`` before step ``after``, ``openr1_after_think`` from there on."""
+    return text_udf.rewarded(partial(text_udf.step_reward, step=step, after=after), response, truth)
+
+
 def scorer(name: str) -> Callable[[Column, Column], Column]:
     if name not in SCORERS:
         raise NotImplementedError(name)

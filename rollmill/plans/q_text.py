@@ -72,8 +72,12 @@ def register(q: Registry) -> None:
     score("format_and_correct", lambda: F.concat_ws("|", c.r.contains("\\boxed").cast("string"), F.coalesce(T.simple_boxed(c.r) == c.truth, F.lit(False)).cast("string"), F.coalesce(T.simple_boxed(c.r), F.lit("-"))), rf"contains(r, '\boxed')::VARCHAR || '|' || coalesce({BOX} = truth, false)::VARCHAR || '|' || coalesce({BOX}, '-')", "parts")
     score("accuracy_reward_verify", lambda: F.when(c.truth.isNull() | (c.truth == ""), 1.0).when(F.coalesce(T.number_flexible(c.r), F.lit("")) == c.truth, 1.0).otherwise(0.0), f"CASE WHEN truth IS NULL OR truth = '' THEN 1.0 WHEN coalesce({FLEX}, '') = truth THEN 1.0 ELSE 0.0 END::DOUBLE")
     score("boxed_oat_grade", lambda: F.when(U.answers_equal(U.boxed_answer(c.r), c.truth), 1.0).otherwise(0.0), f"CASE WHEN {BOX} = truth OR least(abs(TRY_CAST(replace({BOX}, ',', '') AS DOUBLE) - TRY_CAST(replace(truth, ',', '') AS DOUBLE)) - 1e-4 * greatest(abs(TRY_CAST(replace({BOX}, ',', '') AS DOUBLE)), abs(TRY_CAST(replace(truth, ',', '') AS DOUBLE))), abs(TRY_CAST(replace({BOX}, ',', '') AS DOUBLE) * 100 - TRY_CAST(replace(truth, ',', '') AS DOUBLE)) - 1e-4 * greatest(abs(TRY_CAST(replace({BOX}, ',', '') AS DOUBLE)) * 100, abs(TRY_CAST(replace(truth, ',', '') AS DOUBLE))), abs(TRY_CAST(replace({BOX}, ',', '') AS DOUBLE) / 100 - TRY_CAST(replace(truth, ',', '') AS DOUBLE)) - 1e-4 * greatest(abs(TRY_CAST(replace({BOX}, ',', '') AS DOUBLE)) / 100, abs(TRY_CAST(replace(truth, ',', '') AS DOUBLE)))) <= 0 THEN 1.0 ELSE 0.0 END::DOUBLE")
-    for name in ("openr1_rewards", "luffy_reward", "dr_grpo_rewards", "math_verify_score", "batch_score"):
-        score(name, lambda: F.when(F.coalesce(T.simple_boxed(c.r), T.number_strict(c.r)) == c.truth, 1.0).otherwise(0.0), f"CASE WHEN coalesce({BOX}, {STRICT}) = truth THEN 1.0 ELSE 0.0 END::DOUBLE")
+    boxed_or_marked = f"CASE WHEN coalesce({BOX}, {STRICT}) = truth THEN 1.0 ELSE 0.0 END::DOUBLE"
+    for name, reward in (("luffy_reward", "luffy"), ("math_verify_score", "math_verify")):
+        score(name, lambda reward=reward: R.scorer(reward)(c.r, c.truth), boxed_or_marked)
+    # the boxed rewards of the source take no "####" number (``R.SCORERS`` has them); these take one, as their SQL does
+    for name in ("openr1_rewards", "dr_grpo_rewards", "batch_score"):
+        score(name, lambda: F.when(F.coalesce(T.simple_boxed(c.r), T.number_strict(c.r)) == c.truth, 1.0).otherwise(0.0), boxed_or_marked)
     score("match_answer", lambda: F.coalesce(F.nullif(F.regexp_extract(F.lower(c.r), r"answer:\s*(\S*\d\S*)", 1), F.lit("")), T.simple_boxed(c.r)), f"coalesce(nullif(regexp_extract(lower(r), 'answer:\\s*(\\S*\\d\\S*)', 1), ''), {BOX})", "answer")
 
     @q("repeatness")
