@@ -129,12 +129,19 @@ def defective_pairs(chats: DataFrame, generations: DataFrame) -> DataFrame:
     return found.where("defect IS NOT NULL").distinct()
 
 
+def _texts_flags(generations: DataFrame, demos: DataFrame) -> DataFrame:
+    """FLAGS of generations and demos in which another language is no defect: it doesn't exclude a cut."""
+    flags = generation_flags(generations, cut_only=True).unionByName(demo_flags(demos))
+    return flags.withColumn("defect", F.nullif("defect", F.lit("other_language")))
+
+
 def cut_texts(generations: DataFrame, demos: DataFrame) -> DataFrame:
     """``origin, record_key, text_no`` of each text that breaks off before its end; repeated rows give one row.
 
-    Empty texts, refusals and copies of the question are none. Null keys and null lists have no texts.
+    Empty texts, refusals and copies of the question are none; a text in another language can be cut. Null keys and null lists
+    have no texts.
     """
-    flags = cut_lineage(generation_flags(generations, cut_only=True).unionByName(demo_flags(demos)))
+    flags = cut_lineage(_texts_flags(generations, demos))
     return with_cuts(flags).where("truncated").select("origin", "record_key", "text_no").distinct()
 
 
@@ -145,7 +152,7 @@ def cut_rates(generations: DataFrame, demos: DataFrame, export: DataFrame) -> Da
     (uid, response_id, global_step) once, by whether the demo they point to is cut or is shorter than ``demo_len`` less the
     end token; rows that point to no demo count as not cut. Null sources are a group of their own.
     """
-    flags = cut_lineage(generation_flags(generations, cut_only=True).unionByName(demo_flags(demos)))
+    flags = cut_lineage(_texts_flags(generations, demos))
     one = ["origin", "record_key", "text_no"]
     cuts = with_cuts(flags).groupBy(*one).agg(F.max("truncated").alias("cut"), F.max("source").alias("data_source"))
     lengths = (

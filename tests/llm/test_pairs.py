@@ -99,3 +99,14 @@ def test_end_marks_count_by_source(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], GENERATIONS)
     assert pairs.defective_pairs(spark.createDataFrame([], CHATS), none).count() == 0
+
+
+def test_cut_texts_in_another_language(spark):
+    german = "Der Beutel hält 12 Stück, und die Kiste hat den Rest, also bleiben 14 für Anna. Das ist die Antwort, wenn nicht mehr von ihnen im"
+    assert answers.is_other_language(Q, german) and shape.state_of(german) == shape.UNENDED
+    demos = spark.createDataFrame([], "uid string, data_source string, prompt array<struct<role:string,content:string>>, problem string, extra_info struct<question:string>, demos array<string>, demos_len array<int>")
+    rows = spark.createDataFrame([("u", "g", [("user", Q)], [FINE, FINE, german, Q[:-10]], "k")], GENERATIONS)
+    assert {tuple(r) for r in pairs.cut_texts(rows, demos).collect()} == {("generations", "u", 2)}
+    export = spark.createDataFrame([], "uid string, response_id string, global_step long, data_source string, demo_len int")
+    assert [(r.n_texts, r.n_cut) for r in pairs.cut_rates(rows, demos, export).collect()] == [(4, 1)]
+    assert ("generations", "u", 2, "other_language") in {tuple(r) for r in pairs.defective_pairs(spark.createDataFrame([], CHATS), rows).collect()}
