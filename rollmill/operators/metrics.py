@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollmill.functions import arrays as A
+from rollmill.functions.text import with_value
 
 
 def reduce_metrics(df: DataFrame, name: str = "name", value: str = "value", *keys: str) -> DataFrame:
@@ -61,28 +62,60 @@ def sample_sizes(n: Column) -> Column:
     return F.when(n > 1, F.concat(F.filter(powers, lambda p: p < n), F.array(n))).otherwise(F.array().cast("array<int>"))
 
 
-def validation(df: DataFrame, source: str, prompt: str, value: str, order: str) -> DataFrame:
+def validation(df: DataFrame, source: str, prompt: str, value: str, order: str, vote: str | None = None) -> DataFrame:
     """``source, name, value``: per source the means over its prompts of mean@n, std@n (population) and, for k = 2, 4, ..., n,
-    the expected best@k and worst@k of k draws with replacement, in closed form."""
+    the mean and std of best@k and worst@k of k draws with replacement, in closed form. With ``vote`` also those of maj@k,
+    the first value of the draws' most frequent vote, by ``bootstrap``'s samples; a prompt's rows are then whole within a task."""
     values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
     rows = df.groupBy(source, prompt).agg(values.alias("v"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").cast("int").alias("n"))
-    named = lambda label, k, v: F.struct(F.concat(F.lit(label), k.cast("string"), F.lit("/mean") if "st@" in label else F.lit("")).alias("name"), v.alias("value"))
+    named = lambda label, k, v, of="": F.struct(F.concat(F.lit(label), k.cast("string"), F.lit(of)).alias("name"), v.alias("value"))
 
     def power(i, k):
         return F.pow(i / F.col("n"), k.cast("double"))
 
-    def best(values_, k):
+    def best(values_, k, of=lambda v: v):
         ordered = F.array_sort(values_)
-        return F.aggregate(F.transform(ordered, lambda v, i: v * (power(i + 1, k) - power(i, k))), F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(F.transform(ordered, lambda v, i: of(v) * (power(i + 1, k) - power(i, k))), F.lit(0.0), lambda s, x: s + x)
+
+    def spread(values_, k):
+        return with_value(best(values_, k), lambda mean: F.sqrt(best(values_, k, lambda v: (v - mean) * (v - mean))))
 
     sizes = sample_sizes(F.col("n"))
     own = F.concat(
         F.array(named("mean@", F.col("n"), F.col("mean"))),
         F.filter(F.array(named("std@", F.col("n"), F.col("std"))), lambda _: F.col("n") > 1),
-        F.transform(sizes, lambda k: named("best@", k, best(F.col("v"), k))),
-        F.transform(sizes, lambda k: named("worst@", k, -best(F.transform("v", lambda v: -v), k))),
+        F.transform(sizes, lambda k: named("best@", k, best(F.col("v"), k), "/mean")),
+        F.transform(sizes, lambda k: named("best@", k, spread(F.col("v"), k), "/std")),
+        F.transform(sizes, lambda k: named("worst@", k, -best(F.transform("v", lambda v: -v), k), "/mean")),
+        F.transform(sizes, lambda k: named("worst@", k, spread(F.transform("v", lambda v: -v), k), "/std")),
     )
-    return rows.select(source, F.explode(own).alias("m")).groupBy(source, F.col("m.name").alias("name")).agg(F.avg("m.value").alias("value"))
+    each = rows.select(source, F.explode(own).alias("m")).select(source, "m.name", "m.value")
+    if vote:
+        each = each.unionByName(_majorities(df, source, prompt, value, order, vote))
+    return each.groupBy(source, "name").agg(F.avg("value").alias("value"))
+
+
+def _majorities(df: DataFrame, source: str, prompt: str, value: str, order: str, vote: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """``source, name, value``: mean and std of maj@k of each prompt; null votes are a vote of their own."""
+
+    def first_of_most(codes: np.ndarray, values: np.ndarray) -> float:
+        n, first = np.bincount(codes), {}
+        for place, code in enumerate(codes.tolist()):
+            first.setdefault(code, place)
+        return values[first[max(first, key=lambda code: n[code])]]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        codes, values = pd.factorize(pdf[vote], use_na_sentinel=False)[0], pdf[value].to_numpy(float)
+        rows, size = [], len(pdf)
+        for k in [*(2**i for i in range(1, 31) if 2**i < size), size] if size > 1 else []:
+            np.random.seed(seed)
+            drawn = (np.random.choice(size, size=k, replace=True) for _ in range(resamples))
+            found = [first_of_most(codes[d], values[d]) for d in drawn]
+            rows += [(pdf[source].iloc[0], f"maj@{k}/mean", float(np.mean(found))), (pdf[source].iloc[0], f"maj@{k}/std", float(np.std(found)))]
+        return pd.DataFrame(rows, columns=[source, "name", "value"])
+
+    return df.groupBy(source, prompt).applyInPandas(run, f"{source} {df.schema[source].dataType.simpleString()}, name string, value double")
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, subset: int, functions: dict[str, Callable], resamples: int = 1000, seed: int = 42) -> DataFrame:
