@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_written: dict[str, DataFrame] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,11 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a folder of this machine is chosen."""
+    """The folder of checkpoints: the one the cluster names in ``spark.checkpoint.dir``. Only on a local master (tests) may it
+    be unset; then a folder of this machine is chosen."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollmill-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rollmill-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -51,17 +55,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed columnar table in the shared checkpoint folder; for rows with texts. Deleted when the
-    application ends."""
+    application ends, or by ``delete``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.parquet(path)
+    _written[path] = out
+    return out
 
-    def delete() -> None:
+
+def delete(table: DataFrame) -> None:
+    """Deletes a ``written`` table that is of no more use."""
+    for path in [p for p, own in _written.items() if own is table]:
+        _delete(path, _written.pop(path).sparkSession)
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, own in _written.items():
         try:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(path, own.sparkSession)
         except Exception:  # the session may have ended before
             pass
-
-    atexit.register(delete)
-    return spark.read.parquet(path)
