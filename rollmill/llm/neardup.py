@@ -7,23 +7,26 @@ Every global order of the words gives a filter: linked records share words withi
 single order is selective enough where most words are in a tenth of all records, so filters under several orders are
 intersected before anything is verified:
 
-* Rare words first. Records of up to ``SHORT`` words: the usual prefix, exact. Longer ones: the prefix is the words that are
-  in at most one of ``RARE`` records, and ``g`` further orders each put one class of words first (a remainder of the hash).
-  If two records share more than ``g`` words of their prefixes, two of these are of one class (pigeonhole), so the records
-  share two words of the prefix under that class's order too. The key is that pair of words. ``g`` follows the number of
-  rare words and is at most a third of it.
+* Rare words first. Records of up to ``SHORT`` words: the usual prefix, exact. Longer ones: the prefix is the words that at
+  most ``RARE`` records have, and ``g`` further orders each put one class of words first (a remainder of the hash). If two
+  records share more than ``g`` words of their prefixes, two of these are of one class (pigeonhole), so the records share two
+  words of the prefix under that class's order too. The key is that pair of words. ``g`` is a power of two, a sixth to a third
+  of the number of rare words, so the keys of a record grow in proportion to its words.
 * Links whose records share fewer rare words (all names and numbers replaced) agree in the frequent words all the more.
   ``BANDS`` keys each join the first frequent word under ``DEPTH`` orders by hash.
 
-Links between short records are found with certainty, and so are those of the first kind between records whose numbers of
-rare words differ by at most a factor of ``UNEVEN``. Other links are found by the second kind of key only with probability
-1 - (1 - s ** DEPTH) ** BANDS for a similarity of s in the frequent words (0.76 for 0.7). Therefore the keys only tell what
-is connected at once; a second pass then compares all records of different components (``across``), so that every link
-that connects anything is found with certainty. Candidates meet the size filter and the parity filter (words hashed to bits;
-the bits that differ bound the words that differ from below), and those left are verified on their sets of words.
+These keys tell what is connected at once: exactly for short records and for records that share more rare words than ``g``,
+otherwise by chance. So nothing rests on them: a second pass compares all records of different components (``across``) by
+size and parity bits and verifies those left, and every link that connects anything is found with certainty. That pass is a
+comparison of records in blocks, a few operations on bits a pair; its time grows with the square of the records. A filter
+by words can't take its place here: most words are in a tenth of all records, and every exact set of keys that was counted
+(pairs, triples of words of a class, equal classes) meets a hundredth of all pairs or needs hundreds of keys a record.
 
 Any fixed order keeps the result exact, so word frequencies may be estimated: counts of 2**20 hash buckets, a broadcast of
 fixed size (1 MB as logarithms).
+
+Keys that very many rows share (exact copies, the root of a large group, a key of words) are thinned within the task that
+makes them or joined in salted parts (``joined_in_parts``).
 """
 
 from __future__ import annotations
@@ -40,21 +43,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.session import cut_lineage, written
+from rollmill.session import cut_lineage, delete, written
 
 BUCKET_BITS = 20
 #: Records of at most so many words are joined on single words of their prefixes.
 SHORT = 12
-#: A word is rare if at most one of so many records has it.
-RARE = 200
-#: Least number of rare words, and the number of classes used from there on.
-LEVELS = ((96, 32), (48, 16), (24, 8), (12, 4), (6, 2), (2, 1))
+#: A word is rare if at most so many records have it.
+RARE = 512
 #: The rare words of one record of a pair may be so many times the other's.
 UNEVEN = 0.6
-BANDS, DEPTH = 24, 8
-#: Records of one key up to which all are compared, rows of one key held by a task, and records of a side of a cell.
-FULL_GROUP, HELD, BLOCK = 512, 4096, 8192
-PARITY_WORDS = 4
+BANDS, DEPTH = 8, 8
+#: Records of one key up to which all are compared, rows of one key held by a task, and rows of one key in one batch of which
+#: only every ``THIN``-th is sent on (the others are linked to their neighbours there).
+FULL_GROUP, HELD, THIN = 256, 4096, 64
+#: Records of a side of a cell, and of these compared at once.
+BLOCK, AT_ONCE = 16_384, 32
+#: Parity bits of a record of up to ``LEVEL_WORDS`` words are 64 * ``PARITY_WORDS``; twice the words have twice the bits.
+PARITY_WORDS, LEVEL_WORDS = 4, 192
+#: A key that more than one of so many rows have is joined in parts; there are at most so many such keys.
+HOT = 1000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _TO_SPACES = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
@@ -108,11 +115,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-_UPPER = {n: np.triu_indices(n, 1) for n in range(2, 65)}
+def _pairs_within(sorted_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of equal neighbours' runs in a sorted array."""
+    n = len(sorted_groups)
+    i, j = [], []
+    for step in range(1, n):
+        at = np.flatnonzero(sorted_groups[step:] == sorted_groups[:-step])
+        if not len(at):
+            break
+        i.append(at)
+        j.append(at + step)
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
 
 
-def _upper(n: int):
-    return _UPPER[n] if n in _UPPER else np.triu_indices(n, 1)
+def classes_of(n_rare: int) -> int:
+    """Number of classes for so many rare words: the power of two up to a third of them; 0 for fewer than two."""
+    return 1 << (max(3, n_rare) // 3).bit_length() - 1 if n_rare > 1 else 0
 
 
 _SEEDS, _ORDERS = np.random.default_rng(1).integers(0, 1 << 64, (2, BANDS * DEPTH), np.uint64) | np.uint64(1)
@@ -133,13 +151,11 @@ def keys_of(words: np.ndarray, logs: np.ndarray, rare_log: int, threshold: Fract
         if size <= SHORT:
             return keys[0]
     rare = words[(counts > 0) & (counts <= rare_log)]
-    n = len(rare)
-    for classes in {next((c for least, c in LEVELS if r >= least), 0) for r in (n, int(n / UNEVEN))} - {0} if n > 1 else ():
-        member = (_mix(rare) % np.uint64(classes)).astype(np.int64)
-        i, j = _upper(n)
-        same = member[i] == member[j]
-        i, j = i[same], j[same]
-        a, b = np.minimum(rare[i], rare[j]), np.maximum(rare[i], rare[j])
+    for classes in {classes_of(len(rare)), classes_of(int(len(rare) / UNEVEN))} - {0} if len(rare) > 1 else ():
+        member = _mix(rare) % np.uint64(classes)
+        order = np.argsort(member, kind="stable")  # the words are sorted, so within a class they stay so
+        i, j = _pairs_within(member[order])
+        a, b = rare[order[i]], rare[order[j]]
         keys.append(_mix(_mix(a ^ np.uint64(classes << 8)) * np.uint64(3) + b))
     frequent = words[counts > rare_log]
     if len(frequent):
@@ -148,10 +164,17 @@ def keys_of(words: np.ndarray, logs: np.ndarray, rare_log: int, threshold: Fract
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def parity_of(words: np.ndarray) -> list[int]:
-    """Bits that tell of each of 64 * PARITY_WORDS classes whether it holds an odd number of words."""
-    odd = np.bincount((_mix(words ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def level_of(n_words: int) -> int:
+    """0 for up to ``LEVEL_WORDS`` words, one more for each doubling."""
+    return (max(1, -(-n_words // LEVEL_WORDS)) - 1).bit_length()
+
+
+def parity_of(words: np.ndarray) -> np.ndarray:
+    """Bits that tell of each class of words whether it holds an odd number of them. The classes of one level less are pairs
+    of classes, so folding the bits in half gives that level's."""
+    n_bits = 64 * PARITY_WORDS << level_of(len(words))
+    odd = np.bincount((_mix(words ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(n_bits)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def conversation_text(messages: str = "messages") -> Column:
@@ -186,9 +209,9 @@ def _log_of(n: int) -> int:
     return min(250, round(log2(n) * 4)) if n > 1 else 0
 
 
-def _versions(rows: DataFrame, with_words: bool) -> DataFrame:
-    """``high, low, key`` of ``rows``, and ``words``: a 128-bit digest of the set of words, by which equal sets meet, and the
-    packed words. Records without words are left out."""
+def _versions(rows: DataFrame) -> DataFrame:
+    """``high, low, key, words`` of ``rows``: a 128-bit digest of the set of words, by which equal sets meet, and the packed
+    words. Records without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -201,13 +224,27 @@ def _versions(rows: DataFrame, with_words: bool) -> DataFrame:
                     keys.append(key)
                     high.append((digest >> 64) - (1 << 63))
                     low.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                    if with_words:
-                        sets.append(packed(words))
-            columns = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.int64())]
-            names = ["high", "low", "key"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())] if with_words else columns, [*names, "words"] if with_words else names)
+                    sets.append(packed(words))
+            columns = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["high", "low", "key", "words"])
 
-    return rows.mapInArrow(run, "high long, low long, key long" + ", words binary" * with_words)
+    return rows.mapInArrow(run, "high long, low long, key long, words binary")
+
+
+def joined_in_parts(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """``left`` left-joined with ``right``, which has each key once. A key of more than a ``HOT``-th of the left rows is joined
+    in parts, by the hash of the left column ``spread``: no task holds a large group. The hot keys are at most ``HOT`` rows,
+    which are broadcast."""
+    counted = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    limit = max(10_000, counted.agg(F.sum("_n")).first()[0] or 0) // HOT
+    hot = counted.where(F.col("_n") > limit).select(*on, F.expr(f"cast(_n div {limit} + 1 AS int)").alias("_parts")).collect()
+    if not hot:
+        return left.join(right, on, "left")
+    few = F.broadcast(left.sparkSession.createDataFrame(hot, ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in on) + ", _parts int"))
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = left.join(few, on, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    copied = right.join(few, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return salted.join(copied, [*on, "_part"], "left").drop("_part")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -223,7 +260,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lowered = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("fell"))
-        jumped = lowered.join(labels.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left")
+        jumped = joined_in_parts(written(lowered), labels.select(F.col("node").alias("root"), F.col("root").alias("further")), ["root"], "node")
         labels = written(jumped.select("node", F.least("root", F.coalesce("further", "root")).alias("root"), (F.col("fell") | F.coalesce(F.col("further") < F.col("root"), F.lit(False))).alias("fell")))
         moving = labels.agg(F.max("fell")).first()[0]
         labels = labels.select("node", "root")
@@ -233,20 +270,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_links(records: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``a, b`` (``a < b``): links of ``records`` (``key, words``) that connect all records which links connect. A key with
-    several sets is linked if one is.
+    """``a, b`` (``a < b``): links of ``records`` (``key, words``) with a common key of the filters.
 
     Records that share a key are compared with each other while they are few; a key of more than ``FULL_GROUP`` records links
-    neighbours by size. What these links connect is then known, and all records of different components are compared, in
-    cells of bounded size (``across``). So a third of all records being near-copies costs no verified pairs within that third,
-    and nothing is left out.
+    neighbours by size, within the task that makes the keys where one batch holds many of them.
     """
     spark = records.sparkSession
     limit = Fraction(str(threshold))
-    counted = _bucket_counts(records)
-    n_records = records.count()
-    rare_log = _log_of(max(2, n_records // RARE))
-    frequency, most_ratio = spark.sparkContext.broadcast(counted), float(1 / limit) + 1e-9
+    rare_log = _log_of(RARE)
+    frequency, most_ratio = spark.sparkContext.broadcast(_bucket_counts(records)), float(1 / limit) + 1e-9
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = frequency.value
@@ -255,14 +287,30 @@ def near_links(records: DataFrame, threshold: float = 0.7) -> DataFrame:
             keys = [keys_of(words, log, rare_log, limit) for words in sets]
             times = np.array([len(k) for k in keys])
             if times.sum():
-                columns = (np.concatenate(keys).view(np.int64), np.repeat(batch.column(0).to_numpy(), times), np.repeat(np.array([len(w) for w in sets], np.int32), times))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["share", "key", "size"])
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(batch.column(0).to_numpy(), times), np.repeat(np.array([len(w) for w in sets], np.int32), times)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _thinned(*columns)], ["share", "key", "size"])
 
     shares = records.select("key", "words").mapInArrow(emit, "share long, key long, size int")
     met = shares.repartition("share").sortWithinPartitions("share", "size").mapInArrow(_meeting(most_ratio), "a long, b long")
-    sketch = records.select("key", "words").mapInArrow(_parities, "key long, n int, bits array<long>")
-    links = cut_lineage(_verified(met.distinct(), records, sketch, limit))
-    return links.unionByName(_verified(across(sketch, components(links), n_records, limit), records, None, limit))
+    return _verified(met.distinct(), records, limit, filtered=True)
+
+
+def _thinned(share: np.ndarray, key: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Of a key that ``THIN`` rows or more have here, every ``THIN``-th row and the last by size; the rows between become
+    candidates with their neighbours, as rows ``(a, b, -1)``."""
+    distinct, group, n = np.unique(share, return_inverse=True, return_counts=True)
+    if n.max(initial=0) < THIN:
+        return [share, key, size]
+    many = n[group] >= THIN
+    order = np.lexsort((size[many], group[many]))
+    s, k, z, g = (x[many][order] for x in (share, key, size, group))
+    near = np.flatnonzero(g[1:] == g[:-1])
+    first = np.r_[True, g[1:] != g[:-1]]
+    place = np.arange(len(g)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    kept = (place % THIN == 0) | np.r_[g[1:] != g[:-1], True]
+    links = near[k[near] != k[near + 1]]
+    a, b = np.minimum(k[links], k[links + 1]), np.maximum(k[links], k[links + 1])
+    return [np.concatenate([share[~many], s[kept], a]), np.concatenate([key[~many], k[kept], b]), np.concatenate([size[~many], z[kept], np.full(len(a), -1, size.dtype)])]
 
 
 def _meeting(most_ratio: float):
@@ -287,6 +335,12 @@ def _meeting(most_ratio: float):
     def within(rows: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
         if not rows.shape[1]:
             return
+        direct = rows[2] < 0
+        if direct.any():
+            yield _candidates([rows[:2, direct]])
+            rows = rows[:, ~direct]
+            if not rows.shape[1]:
+                return
         share, ids, size = rows
         starts = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
         ends = np.r_[starts[1:], rows.shape[1]]
@@ -305,7 +359,7 @@ def _meeting(most_ratio: float):
         two = starts[ends - starts == 2]
         add(two, two + 1)
         for start, end in zip(starts[~many & (ends - starts > 2)].tolist(), ends[~many & (ends - starts > 2)].tolist()):
-            i, j = _upper(end - start)
+            i, j = np.triu_indices(end - start, 1)
             add(start + i, start + j)
             if waiting > 200_000:
                 yield _candidates(out)
@@ -324,20 +378,53 @@ def _candidates(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(distinct[0]), pa.array(distinct[1])], ["a", "b"])
 
 
-def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _folded(bits: np.ndarray) -> np.ndarray:
+    half = len(bits) // 2
+    return bits[:half] ^ bits[half:]
+
+
+def _short_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # key, n, parity bits folded to the lowest level
     for batch in batches:
         sets = [unpacked(raw) for raw in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in sets], pa.int32()), pa.array([parity_of(w) for w in sets], pa.list_(pa.int64()))], ["key", "n", "bits"])
+        out = []
+        for words in sets:
+            bits = parity_of(words)
+            while len(bits) > PARITY_WORDS:
+                bits = _folded(bits)
+            out.append(bits.view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in sets], pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["key", "n", "bits"])
 
 
-def _verified(candidates: DataFrame, records: DataFrame, sketch: DataFrame | None, limit: Fraction) -> DataFrame:
-    """The candidates that are links: by the parity filter (unless ``sketch`` is None) and the sets of words."""
+def _sketches(most_ratio: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each record its own level's bits, and as a guest those of the levels below where it may have partners
+        for batch in batches:
+            rows = []
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = unpacked(raw)
+                n, bits = len(words), parity_of(words)
+                level = level_of(n)
+                rows.append((key, n, level, False, bits.tobytes()))
+                for lower in range(level - 1, level_of(ceil(n / most_ratio)) - 1, -1):
+                    bits = _folded(bits)
+                    rows.append((key, n, lower, True, bits.tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "n", "level", "guest", "bits"])
+
+    return run
+
+
+def _verified(candidates: DataFrame, records: DataFrame, limit: Fraction, filtered: bool) -> DataFrame:
+    """The candidates ``a, b`` that are links, by their sets of words. ``filtered``: by parity bits first."""
     kept = candidates
-    if sketch is not None:
+    if filtered:
+        sketch = records.select("key", "words").mapInArrow(_short_sketches, "key long, n int, bits array<long>")
         side = lambda of: sketch.select(F.col("key").alias(of), F.col("n").alias(f"n_{of}"), F.col("bits").alias(f"bits_{of}"))
         differing = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY_WORDS)), F.lit(0))
         most = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(float(limit / (1 + limit))) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-        kept = candidates.join(side("a"), "a").join(side("b"), "b").where(differing <= most).select("a", "b").distinct()
+        kept = candidates.join(side("a"), "a").join(side("b"), "b").where(differing <= most).select(*candidates.columns)
     kept = cut_lineage(kept)
     involved = records.join(kept.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
 
@@ -345,29 +432,43 @@ def _verified(candidates: DataFrame, records: DataFrame, sketch: DataFrame | Non
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right):
-            p, q = unpacked(x), unpacked(y)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(common * limit.denominator >= limit.numerator * (len(p) + len(q) - common))
+            both = np.concatenate([unpacked(x), unpacked(y)])
+            both.sort()
+            out.append(int((both[1:] == both[:-1]).sum()) >= least_overlap(len(x) // 6, len(y) // 6, limit))
         return pd.Series(out, dtype=bool)
 
     words_of = lambda of: involved.select(F.col("key").alias(of), F.col("words").alias(f"words_{of}"))
-    return kept.join(words_of("a"), "a").join(words_of("b"), "b").where(linked("words_a", "words_b")).select("a", "b").distinct()
+    return kept.join(words_of("a"), "a").join(words_of("b"), "b").where(linked("words_a", "words_b")).select(*candidates.columns)
 
 
-def across(sketch: DataFrame, roots: DataFrame, n_records: int, limit: Fraction) -> DataFrame:
-    """``a, b``: all pairs of records that lie in different components and meet the size and parity filters.
+def across(records: DataFrame, roots: DataFrame, limit: Fraction) -> DataFrame:
+    """``a, b, root_a, root_b``: all pairs of records that lie in different components and meet the size and parity filters.
 
-    Records are dealt into blocks of some ``BLOCK``; a cell holds one block or two. Comparisons grow with the square of the
-    number of records and each is a few operations on bits; the rows moved are ``n_records / BLOCK`` times the records.
+    Records of one level are dealt into blocks of some ``BLOCK``; a cell holds one block or two, or a block and one of the
+    records of the levels above that may have partners in it. The rows moved are ``n_records / BLOCK`` times the records.
     """
-    blocks = max(1, ceil(n_records / BLOCK))
-    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(PARITY_WORDS)]
-    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("own")
-    rows = sketch.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "n", *bits, own)
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    cells = rows.select("*", others).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("right", F.col("own") == F.col("j")).drop("own", "other")
-    cells = cells.repartition(min(2000, blocks * (blocks + 1) // 2), "i", "j")
-    ratio = limit / (1 + limit)
+    ratio, most_ratio = limit / (1 + limit), float(1 / limit) + 1e-9
+    sketch = records.select("key", "words").mapInArrow(_sketches(most_ratio), "key long, n int, level int, guest boolean, bits binary")
+    rows = written(joined_in_parts(sketch, roots.withColumnRenamed("node", "key"), ["key"], "key").withColumn("root", F.coalesce("root", "key")))
+    counted = rows.groupBy("level", "guest").agg(F.count("*").alias("n")).collect()
+    blocks, guests = ({r.level: ceil(r.n / BLOCK) for r in counted if r.guest == guest} for guest in (False, True))
+    levels = F.create_map(*(F.lit(x) for level in sorted({*blocks, *guests, -1}) for x in (level, blocks.get(level, 0))))
+    guest_blocks = F.create_map(*(F.lit(x) for level in sorted({*blocks, *guests, -1}) for x in (level, guests.get(level, 0))))
+    n_own, n_guest = levels[F.col("level")], guest_blocks[F.col("level")]
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("guest"), n_guest).otherwise(n_own)).cast("int")
+    # a resident meets the residents of every block and the guests of every block, a guest the residents of every block
+    at = F.when(
+        F.col("guest"), F.transform(F.sequence(F.lit(1), n_own), lambda x: F.struct((x - 1).alias("i"), (-own - 1).alias("j"), F.lit(True).alias("right")))
+    ).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(1), n_own), lambda x: F.struct(F.least(own, x - 1).alias("i"), F.greatest(own, x - 1).alias("j"), (own >= x).alias("right"))),
+            F.transform(F.filter(F.sequence(F.lit(0), n_guest), lambda x: x > 0), lambda x: F.struct(own.alias("i"), (-x).alias("j"), F.lit(False).alias("right"))),
+        )
+    )
+    # where no resident is, n_own is 0 and guests have nothing to meet
+    cells = rows.where(n_own > 0).select("key", "root", "n", "level", "bits", F.explode(at).alias("at")).select("key", "root", "n", "level", "bits", "at.i", "at.j", "at.right")
+    n_cells = sum(b * (b + 1) // 2 + b * guests.get(level, 0) for level, b in blocks.items())
+    cells = cells.repartition(min(4000, max(1, n_cells)), "level", "i", "j")
 
     def most(n_both):
         return n_both - 2 * (-(-ratio.numerator * n_both // ratio.denominator))
@@ -375,35 +476,42 @@ def across(sketch: DataFrame, roots: DataFrame, n_records: int, limit: Fraction)
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n", kind="stable")
         key, root, n = (pdf[c].to_numpy(np.int64) for c in ("key", "root", "n"))
-        parity = [np.ascontiguousarray(pdf[f"b{i}"].to_numpy(np.int64)).view(np.uint64) for i in range(PARITY_WORDS)]
+        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
         alone = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
         is_right = pdf["right"].to_numpy(bool)
         left, right = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(~is_right), np.flatnonzero(is_right))
-        keys, roots_, sizes, columns = key[right], root[right], n[right], [p[right] for p in parity]
-        least, largest = (-(-n[left] * limit.numerator // limit.denominator), n[left] * limit.denominator // limit.numerator)
-        starts = np.arange(1, len(left) + 1) if alone else np.searchsorted(sizes, least)
-        a, b = [], []
-        for x, start, end in zip(left.tolist(), starts.tolist(), np.searchsorted(sizes, largest, "right").tolist()):
-            if start >= end:
-                continue
-            # the first three words differ in at most 192 bits, which a byte holds
-            differing = np.bitwise_count(columns[0][start:end] ^ parity[0][x])
-            for i in range(1, 3):
-                differing += np.bitwise_count(columns[i][start:end] ^ parity[i][x])
-            at = np.flatnonzero(differing <= min(255, most(int(n[x]) + int(sizes[end - 1]))))
-            if not len(at):
-                continue
-            y = at + start
-            total = differing[at].astype(np.int64)
-            for i in range(3, PARITY_WORDS):
-                total += np.bitwise_count(columns[i][y] ^ parity[i][x])
-            y = y[(roots_[y] != root[x]) & (total <= most(n[x] + sizes[y]))]
-            if len(y):
-                a.append(np.minimum(keys[y], key[x]))
-                b.append(np.maximum(keys[y], key[x]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
-
-    return cells.groupBy("i", "j").applyInPandas(compare, "a long, b long").distinct()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(left) and len(right):
+            sizes, columns = n[right], [np.ascontiguousarray(c) for c in bits[right].T]
+            starts = np.searchsorted(sizes, -(-n[left] * limit.numerator // limit.denominator))
+            ends = np.searchsorted(sizes, n[left] * limit.denominator // limit.numerator, "right")
+            counts = np.uint8 if len(columns) <= PARITY_WORDS else np.uint32
+            for first in range(0, len(left), AT_ONCE):
+                x = left[first : first + AT_ONCE]
+                start, end = (int(first + 1) if alone else int(starts[first])), int(ends[min(first + AT_ONCE, len(left)) - 1])
+                if start >= end:
+                    continue
+                # a byte can't hold 256: then a pair of opposite bits is taken for equal and goes to the verification
+                differing = np.bitwise_count(columns[0][start:end] ^ bits[x, 0][:, None]).astype(counts, copy=False)
+                for i in range(1, len(columns)):
+                    differing += np.bitwise_count(columns[i][start:end] ^ bits[x, i][:, None])
+                p, q = np.nonzero(differing <= min(most(int(n[x[-1]]) + int(sizes[end - 1])), np.iinfo(counts).max))
+                if not len(p):
+                    continue
+                both = n[x[p]] + sizes[q + start]
+                real = (differing[p, q] <= most(both)) & (root[x[p]] != root[right[q + start]])
+                if alone:
+                    real &= q + start > first + p
+                p, q = x[p[real]], right[q[real] + start]
+                smaller = n[p] <= n[q]
+                fit = np.where(smaller, n[p], n[q]) * limit.denominator >= np.where(smaller, n[q], n[p]) * limit.numerator
+                found.append((p[fit], q[fit]))
+        p, q = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        ahead = key[p] < key[q]
+        p, q = np.where(ahead, p, q), np.where(ahead, q, p)
+        return pd.DataFrame({"a": key[p], "b": key[q], "root_a": root[p], "root_b": root[q]})
+
+    return cells.groupBy("level", "i", "j").applyInPandas(compare, "a long, b long, root_a long, root_b long")
 
 
 def near_groups(chats: DataFrame, key: str = "chat_id", text: Column | None = None, threshold: float = 0.7) -> DataFrame:
@@ -413,18 +521,33 @@ def near_groups(chats: DataFrame, key: str = "chat_id", text: Column | None = No
     have no group and no row; null keys and null texts are left out. Equal sets of words are one record until the links are
     found, so a group of exact copies of any size costs one record.
     """
+    limit = Fraction(str(threshold))
     words = conversation_text() if text is None else text
     rows = chats.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), words.alias("text")).where("text IS NOT NULL")
-    members = cut_lineage(_versions(rows, False).distinct())
-    own = written(_versions(rows, True).groupBy("high", "low").agg(F.min("key").alias("key"), F.first("words").alias("words")).select("key", "words"))
-    first = members.groupBy("high", "low").agg(F.min("key").alias("a"))
-    copies = members.join(first, ["high", "low"]).where("key <> a").select("a", F.col("key").alias("b"))
-    roots = components(near_links(own, threshold).unionByName(copies))
-    return members.select("key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), F.coalesce("root", "key").alias("root"))
-
-
-def grouped_pairs(groups: DataFrame, key: str = "chat_id") -> DataFrame:
-    """``<key>_a, <key>_b``: every pair of distinct records of one group, the smaller first."""
-    several = groups.withColumnRenamed(key, "key")
-    left, right = several.select("root", F.col("key").alias(f"{key}_a")), several.select("root", F.col("key").alias(f"{key}_b"))
-    return left.join(right, "root").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
+    sets = written(_versions(rows))
+    members = cut_lineage(sets.select("high", "low", "key").distinct())
+    own = written(sets.groupBy("high", "low").agg(F.min("key").alias("key"), F.first("words").alias("words")).select("key", "words"))
+    delete(sets)
+    first = cut_lineage(members.groupBy("high", "low").agg(F.min("key").alias("a")))
+    # a key of several versions links the versions' first records
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    versions = several.join(members, "key").join(first, ["high", "low"]).select("key", "a")
+    same_key = versions.join(versions.groupBy("key").agg(F.min("a").alias("least")), "key").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    roots = components(near_links(own, threshold).unionByName(same_key))
+    further = components(_verified(across(own, roots, limit), own, limit, filtered=False).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    # the digests' roots: after the first pass, after the second
+    known = first.join(roots.withColumnRenamed("node", "a"), "a", "left").select("high", "low", F.coalesce("root", "a").alias("near"))
+    known = joined_in_parts(known, further.withColumnRenamed("node", "near"), ["near"], "high").select("high", "low", F.coalesce("root", "near").alias("root"))
+    placed = joined_in_parts(members, known, ["high", "low"], "key")
+    return placed.groupBy("key").agg(F.min("root").alias("root")).withColumnRenamed("key", key)
+
+
+def grouped_pairs(groups: DataFrame, key: str = "chat_id", part_rows: int = 1000) -> DataFrame:
+    """``<key>_a, <key>_b``: every pair of distinct records of one group, the smaller first. A group is joined in parts of some
+    ``part_rows`` rows of the one side, each with the whole group, so that a large one is spread over tasks."""
+    several = written(groups.select("root", F.col(key).alias("key")))
+    sized = several.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.expr(f"cast((n - 1) div {part_rows} + 1 AS int)").alias("parts"))
+    in_parts = joined_in_parts(several, sized, ["root"], "key").where("parts IS NOT NULL")
+    left = in_parts.select("root", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias(f"{key}_a"))
+    right = in_parts.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias(f"{key}_b"))
+    return left.join(right, ["root", "part"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
