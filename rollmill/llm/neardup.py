@@ -42,6 +42,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from rollmill.session import cut_lineage, delete, written
 
@@ -49,15 +50,15 @@ BUCKET_BITS = 20
 #: Records of at most so many words are joined on single words of their prefixes.
 SHORT = 12
 #: A word is rare if at most so many records have it.
-RARE = 512
+RARE = 128
 #: The rare words of one record of a pair may be so many times the other's.
 UNEVEN = 0.6
-BANDS, DEPTH = 8, 8
+BANDS, DEPTH = 6, 8
 #: Records of one key up to which all are compared, rows of one key held by a task, and rows of one key in one batch of which
 #: only every ``THIN``-th is sent on (the others are linked to their neighbours there).
 FULL_GROUP, HELD, THIN = 256, 4096, 64
 #: Records of a side of a cell, and of these compared at once.
-BLOCK, AT_ONCE = 16_384, 32
+BLOCK, AT_ONCE = 16_384, 4
 #: Parity bits of a record of up to ``LEVEL_WORDS`` words are 64 * ``PARITY_WORDS``; twice the words have twice the bits.
 PARITY_WORDS, LEVEL_WORDS = 4, 192
 #: A key that more than one of so many rows have is joined in parts; there are at most so many such keys.
@@ -128,40 +129,52 @@ def _pairs_within(sorted_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
 
 
-def classes_of(n_rare: int) -> int:
+def classes_of(n_rare: np.ndarray) -> np.ndarray:
     """Number of classes for so many rare words: the power of two up to a third of them; 0 for fewer than two."""
-    return 1 << (max(3, n_rare) // 3).bit_length() - 1 if n_rare > 1 else 0
+    return np.where(n_rare > 1, 1 << np.log2(np.maximum(n_rare, 3) // 3).astype(np.int64), 0)
 
 
 _SEEDS, _ORDERS = np.random.default_rng(1).integers(0, 1 << 64, (2, BANDS * DEPTH), np.uint64) | np.uint64(1)
 _PLACES = (np.arange(1, DEPTH + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
-def keys_of(words: np.ndarray, logs: np.ndarray, rare_log: int, threshold: Fraction) -> np.ndarray:
-    """Keys one of which two records must share to become candidates. ``logs``: log counts by hash bucket, 0 for a word of
-    one record alone, which joins nothing; a word is rare up to ``rare_log``."""
-    size = len(words)
+def keys_of(sets: list[np.ndarray], logs: np.ndarray, rare_log: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(record, key): keys one of which two records must share to become candidates. ``logs``: log counts by hash bucket, 0 for
+    a word of one record alone, which joins nothing; a word is rare up to ``rare_log``."""
+    sizes = np.array([len(w) for w in sets], np.int64)
+    words, record = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     counts = logs[(words >> np.uint64(48 - BUCKET_BITS)).astype(np.int64)]
-    keys = []
-    smallest = ceil(threshold * size)
-    if smallest <= SHORT:  # the smaller of a pair may be short
-        order = np.lexsort((words, counts))
-        prefix = order[: size - least_overlap(size, smallest, threshold) + 1]
-        keys.append(_mix(words[prefix[counts[prefix] > 0]] ^ np.uint64(0x51)))
-        if size <= SHORT:
-            return keys[0]
-    rare = words[(counts > 0) & (counts <= rare_log)]
-    for classes in {classes_of(len(rare)), classes_of(int(len(rare) / UNEVEN))} - {0} if len(rare) > 1 else ():
-        member = _mix(rare) % np.uint64(classes)
-        order = np.argsort(member, kind="stable")  # the words are sorted, so within a class they stay so
-        i, j = _pairs_within(member[order])
-        a, b = rare[order[i]], rare[order[j]]
-        keys.append(_mix(_mix(a ^ np.uint64(classes << 8)) * np.uint64(3) + b))
-    frequent = words[counts > rare_log]
+    ends, found = np.cumsum(sizes), []
+    for at in np.flatnonzero(np.ceil(float(threshold) * sizes - 1e-9) <= SHORT).tolist():  # the smaller of a pair may be short
+        size = int(sizes[at])
+        own, n = words[ends[at] - size : ends[at]], counts[ends[at] - size : ends[at]]
+        order = np.lexsort((own, n))
+        prefix = order[: size - least_overlap(size, ceil(threshold * size), threshold) + 1]
+        prefix = prefix[n[prefix] > 0]
+        found.append((np.full(len(prefix), at), _mix(own[prefix] ^ np.uint64(0x51))))
+    longer = sizes[record] > SHORT
+    is_rare = longer & (counts > 0) & (counts <= rare_log)
+    rare, rare_of = words[is_rare], record[is_rare]
+    n_rare = np.bincount(rare_of, minlength=len(sets))
+    own_level, other_level = classes_of(n_rare), np.where(n_rare > 1, classes_of((n_rare / UNEVEN).astype(np.int64)), 0)
+    for level in (own_level, np.where(other_level != own_level, other_level, 0)):
+        used = level[rare_of] > 0
+        w, of, classes = rare[used], rare_of[used], level[rare_of[used]].astype(np.uint64)
+        group = of.astype(np.uint64) << np.uint64(32) | _mix(w) % np.maximum(classes, np.uint64(1))
+        order = np.argsort(group, kind="stable")  # a record's words are sorted, so within a class they stay so
+        i, j = _pairs_within(group[order])
+        i, j = order[i], order[j]
+        found.append((of[i], _mix(_mix(w[i] ^ classes[i] << np.uint64(8)) * np.uint64(3) + w[j])))
+    frequent, frequent_of = _mix(words[longer & (counts > rare_log)]), record[longer & (counts > rare_log)]
     if len(frequent):
-        firsts = ((_mix(frequent) ^ _SEEDS[:, None]) * _ORDERS[:, None]).min(axis=1).reshape(BANDS, DEPTH)
-        keys.append(_mix((firsts * _PLACES).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        begin = np.flatnonzero(np.r_[True, frequent_of[1:] != frequent_of[:-1]])
+        for band in range(BANDS):
+            key = np.full(len(begin), band, np.uint64)
+            for place in range(DEPTH):
+                order = band * DEPTH + place
+                key += np.minimum.reduceat((frequent ^ _SEEDS[order]) * _ORDERS[order], begin) * _PLACES[place]
+            found.append((frequent_of[begin], _mix(key)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def level_of(n_words: int) -> int:
@@ -177,6 +190,14 @@ def parity_of(words: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def short_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity bits of each set at the lowest level, a row of ``PARITY_WORDS`` numbers each."""
+    n_bits = 64 * PARITY_WORDS
+    words, of = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(w) for w in sets])
+    odd = np.bincount(of * n_bits + (_mix(words ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(n_bits)).astype(np.int64), minlength=n_bits * len(sets)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, PARITY_WORDS)
+
+
 def conversation_text(messages: str = "messages") -> Column:
     """The contents of all messages but system messages, by lines; null for null messages."""
     kept = F.filter(messages, lambda m: F.coalesce(m["role"] != "system", F.lit(True)) & m["content"].isNotNull())
@@ -209,9 +230,12 @@ def _log_of(n: int) -> int:
     return min(250, round(log2(n) * 4)) if n > 1 else 0
 
 
+RECORD = "key long, words binary, n int, bits array<long>"
+
+
 def _versions(rows: DataFrame) -> DataFrame:
-    """``high, low, key, words`` of ``rows``: a 128-bit digest of the set of words, by which equal sets meet, and the packed
-    words. Records without words are left out."""
+    """``high, low`` and RECORD of ``rows``: a 128-bit digest of the set of words, by which equal sets meet, the packed words,
+    their number, and their parity bits at the lowest level. Records without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -224,11 +248,12 @@ def _versions(rows: DataFrame) -> DataFrame:
                     keys.append(key)
                     high.append((digest >> 64) - (1 << 63))
                     low.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                    sets.append(packed(words))
-            columns = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["high", "low", "key", "words"])
+                    sets.append(words)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(short_sketches(sets).ravel()))
+            columns = [pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.int64()), pa.array(map(packed, sets), pa.binary()), pa.array([len(w) for w in sets], pa.int32()), bits]
+            yield pa.RecordBatch.from_arrays(columns, ["high", "low", "key", "words", "n", "bits"])
 
-    return rows.mapInArrow(run, "high long, low long, key long, words binary")
+    return rows.mapInArrow(run, "high long, low long, " + RECORD)
 
 
 def joined_in_parts(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
@@ -270,7 +295,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_links(records: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``a, b`` (``a < b``): links of ``records`` (``key, words``) with a common key of the filters.
+    """``a, b`` (``a < b``): links of ``records`` (RECORD) with a common key of the filters.
 
     Records that share a key are compared with each other while they are few; a key of more than ``FULL_GROUP`` records links
     neighbours by size, within the task that makes the keys where one batch holds many of them.
@@ -284,11 +309,10 @@ def near_links(records: DataFrame, threshold: float = 0.7) -> DataFrame:
         log = frequency.value
         for batch in batches:
             sets = [unpacked(raw) for raw in batch.column(1).to_pylist()]
-            keys = [keys_of(words, log, rare_log, limit) for words in sets]
-            times = np.array([len(k) for k in keys])
-            if times.sum():
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(batch.column(0).to_numpy(), times), np.repeat(np.array([len(w) for w in sets], np.int32), times)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _thinned(*columns)], ["share", "key", "size"])
+            if sets:
+                of, keys = keys_of(sets, log, rare_log, limit)
+                columns = _thinned(keys.view(np.int64), batch.column(0).to_numpy()[of], np.array([len(w) for w in sets], np.int32)[of])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["share", "key", "size"])
 
     shares = records.select("key", "words").mapInArrow(emit, "share long, key long, size int")
     met = shares.repartition("share").sortWithinPartitions("share", "size").mapInArrow(_meeting(most_ratio), "a long, b long")
@@ -383,22 +407,10 @@ def _folded(bits: np.ndarray) -> np.ndarray:
     return bits[:half] ^ bits[half:]
 
 
-def _short_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # key, n, parity bits folded to the lowest level
-    for batch in batches:
-        sets = [unpacked(raw) for raw in batch.column(1).to_pylist()]
-        out = []
-        for words in sets:
-            bits = parity_of(words)
-            while len(bits) > PARITY_WORDS:
-                bits = _folded(bits)
-            out.append(bits.view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in sets], pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["key", "n", "bits"])
-
-
 def _sketches(most_ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of each record its own level's bits, and as a guest those of the levels below where it may have partners
+        # of each record above the lowest level its own level's bits, and as a guest those of the levels below where it may
+        # have partners
         for batch in batches:
             rows = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -420,8 +432,7 @@ def _verified(candidates: DataFrame, records: DataFrame, limit: Fraction, filter
     """The candidates ``a, b`` that are links, by their sets of words. ``filtered``: by parity bits first."""
     kept = candidates
     if filtered:
-        sketch = records.select("key", "words").mapInArrow(_short_sketches, "key long, n int, bits array<long>")
-        side = lambda of: sketch.select(F.col("key").alias(of), F.col("n").alias(f"n_{of}"), F.col("bits").alias(f"bits_{of}"))
+        side = lambda of: records.select(F.col("key").alias(of), F.col("n").alias(f"n_{of}"), F.col("bits").alias(f"bits_{of}"))
         differing = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY_WORDS)), F.lit(0))
         most = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(float(limit / (1 + limit))) * (F.col("n_a") + F.col("n_b")) - 1e-9)
         kept = candidates.join(side("a"), "a").join(side("b"), "b").where(differing <= most).select(*candidates.columns)
@@ -441,6 +452,11 @@ def _verified(candidates: DataFrame, records: DataFrame, limit: Fraction, filter
     return kept.join(words_of("a"), "a").join(words_of("b"), "b").where(linked("words_a", "words_b")).select(*candidates.columns)
 
 
+@F.pandas_udf(BinaryType())
+def _as_bytes(lists: pd.Series) -> pd.Series:
+    return pd.Series([x.tobytes() for x in lists], dtype=object)
+
+
 def across(records: DataFrame, roots: DataFrame, limit: Fraction) -> DataFrame:
     """``a, b, root_a, root_b``: all pairs of records that lie in different components and meet the size and parity filters.
 
@@ -448,8 +464,9 @@ def across(records: DataFrame, roots: DataFrame, limit: Fraction) -> DataFrame:
     records of the levels above that may have partners in it. The rows moved are ``n_records / BLOCK`` times the records.
     """
     ratio, most_ratio = limit / (1 + limit), float(1 / limit) + 1e-9
-    sketch = records.select("key", "words").mapInArrow(_sketches(most_ratio), "key long, n int, level int, guest boolean, bits binary")
-    rows = written(joined_in_parts(sketch, roots.withColumnRenamed("node", "key"), ["key"], "key").withColumn("root", F.coalesce("root", "key")))
+    upper = records.where(F.col("n") > LEVEL_WORDS).select("key", "words").mapInArrow(_sketches(most_ratio), "key long, n int, level int, guest boolean, bits binary")
+    lowest = records.where(F.col("n") <= LEVEL_WORDS).select("key", "n", F.lit(0).alias("level"), F.lit(False).alias("guest"), _as_bytes("bits").alias("bits"))
+    rows = written(lowest.unionByName(upper).join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     counted = rows.groupBy("level", "guest").agg(F.count("*").alias("n")).collect()
     blocks, guests = ({r.level: ceil(r.n / BLOCK) for r in counted if r.guest == guest} for guest in (False, True))
     levels = F.create_map(*(F.lit(x) for level in sorted({*blocks, *guests, -1}) for x in (level, blocks.get(level, 0))))
@@ -485,27 +502,37 @@ def across(records: DataFrame, roots: DataFrame, limit: Fraction) -> DataFrame:
             sizes, columns = n[right], [np.ascontiguousarray(c) for c in bits[right].T]
             starts = np.searchsorted(sizes, -(-n[left] * limit.numerator // limit.denominator))
             ends = np.searchsorted(sizes, n[left] * limit.denominator // limit.numerator, "right")
-            counts = np.uint8 if len(columns) <= PARITY_WORDS else np.uint32
+            # three quarters of the bits first, in a byte a pair where they fit
+            part = len(columns) * 3 // 4
+            kind = np.uint8 if 64 * part < 256 else np.uint32
+            wide, narrow, sums = np.empty((AT_ONCE, len(right)), np.uint64), np.empty((AT_ONCE, len(right)), np.uint8), np.empty((AT_ONCE, len(right)), kind)
             for first in range(0, len(left), AT_ONCE):
                 x = left[first : first + AT_ONCE]
-                start, end = (int(first + 1) if alone else int(starts[first])), int(ends[min(first + AT_ONCE, len(left)) - 1])
+                start, end = (int(first + 1) if alone else int(starts[first])), int(ends[first + len(x) - 1])
                 if start >= end:
                     continue
-                # a byte can't hold 256: then a pair of opposite bits is taken for equal and goes to the verification
-                differing = np.bitwise_count(columns[0][start:end] ^ bits[x, 0][:, None]).astype(counts, copy=False)
-                for i in range(1, len(columns)):
-                    differing += np.bitwise_count(columns[i][start:end] ^ bits[x, i][:, None])
-                p, q = np.nonzero(differing <= min(most(int(n[x[-1]]) + int(sizes[end - 1])), np.iinfo(counts).max))
+                xor, ones, differing = (buffer[: len(x), : end - start] for buffer in (wide, narrow, sums))
+                for i in range(part):
+                    np.bitwise_xor(columns[i][start:end], bits[x, i][:, None], out=xor)
+                    np.bitwise_count(xor, out=ones)
+                    if i:
+                        np.add(differing, ones, out=differing)
+                    else:
+                        differing[...] = ones
+                p, q = np.nonzero(differing <= min(most(int(n[x[-1]]) + int(sizes[end - 1])), np.iinfo(kind).max))
+                q += start
+                if alone:
+                    later = q > first + p
+                    p, q = p[later], q[later]
                 if not len(p):
                     continue
-                both = n[x[p]] + sizes[q + start]
-                real = (differing[p, q] <= most(both)) & (root[x[p]] != root[right[q + start]])
-                if alone:
-                    real &= q + start > first + p
-                p, q = x[p[real]], right[q[real] + start]
-                smaller = n[p] <= n[q]
-                fit = np.where(smaller, n[p], n[q]) * limit.denominator >= np.where(smaller, n[q], n[p]) * limit.numerator
-                found.append((p[fit], q[fit]))
+                total, p, y = differing[p, q - start].astype(np.int64), x[p], right[q]
+                for i in range(part, len(columns)):
+                    total += np.bitwise_count(bits[p, i] ^ bits[y, i])
+                smaller = n[p] <= n[y]
+                fit = np.where(smaller, n[p], n[y]) * limit.denominator >= np.where(smaller, n[y], n[p]) * limit.numerator
+                fit &= (total <= most(n[p] + n[y])) & (root[p] != root[y])
+                found.append((p[fit], y[fit]))
         p, q = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
         ahead = key[p] < key[q]
         p, q = np.where(ahead, p, q), np.where(ahead, q, p)
@@ -526,7 +553,7 @@ def near_groups(chats: DataFrame, key: str = "chat_id", text: Column | None = No
     rows = chats.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), words.alias("text")).where("text IS NOT NULL")
     sets = written(_versions(rows))
     members = cut_lineage(sets.select("high", "low", "key").distinct())
-    own = written(sets.groupBy("high", "low").agg(F.min("key").alias("key"), F.first("words").alias("words")).select("key", "words"))
+    own = written(sets.groupBy("high", "low").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("words", "n", "bits"))).drop("high", "low"))
     delete(sets)
     first = cut_lineage(members.groupBy("high", "low").agg(F.min("key").alias("a")))
     # a key of several versions links the versions' first records
