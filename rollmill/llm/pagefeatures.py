@@ -1,11 +1,16 @@
-"""Content and link features of a page: how its words lie in prose, lists of links, strings of keywords, lists of tags or
-products, and matter such as code, logs, tables and headings."""
+"""What a page is made of. Features for a classifier: how its words lie in prose, lists of links, strings of keywords, lists
+of tags or products, and matter such as code, logs, tables and headings, and how much they repeat. Signals for weak labels,
+none of which is a feature: how many different function words a page has for its length, the share of its characters in
+anchors and in figures, how well it compresses, and the share of its lines that end in a price."""
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
+from math import log1p, sqrt
 
-#: Frequent words of sentences in several languages; fixed values.
+#: Frequent words of sentences in several languages.
 FUNCTION_WORDS = frozenset(
     (
         "the of and is a an that in it to from with its which if so we by at as this be are was when because cannot can only not into over then both each every since until whether how what why or on their them they he she his her has have had but than"
@@ -21,11 +26,38 @@ _TAG_LABEL = re.compile(r"^\W{0,3}(?:tags?|topics?|labels?|filed under|keywords?
 _CJK = re.compile(r"[㐀-鿿]")
 _CJK_SENTENCE = re.compile(r"[，。；！？]")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
+_ANCHOR = re.compile(r"<a\b.*?</a>|https?://\S+|www\.\S+|\]\([^)\s]*\)|\b[\w-]+(?:\.[\w-]+)+/\S*", re.DOTALL | re.IGNORECASE)
+_FIGURE = re.compile(r"[\d{}()\[\]=<>+*/\\$_]")
+_PRICE = re.compile(r"(?:^|[^\w.,])\d{1,9}[.,]\d\d\W{0,4}$")
+_PRICED_WORDS = re.compile(r"(?:^|\s)[^\W\d_]{2,}(?=\s)")
+#: Frequent characters of Chinese sentences.
+_CJK_FUNCTION = frozenset("的是了在和把从到与之其因由使将被若则而但即也只就再已")
 _NUMBER = re.compile(r"^[-+$€%]*\d[\d.,%]*$")
 
 PROSE, MATTER, LINKS, KEYWORDS, TAGS, PRODUCTS, SHORT = range(7)
 #: Names of the features in the order of ``page_features``.
-NAMES = ("links", "keywords", "tags", "products", "prose", "matter", "function_words", "distinct", "link_words", "hash_words", "separators", "words_per_line", "log_words", "repeated")
+NAMES = ("links", "keywords", "tags", "products", "prose", "matter", "distinct", "link_words", "hash_words", "separators", "words_per_line", "log_words", "repeated", "repeated_pairs")
+#: Names of the signals in the order of ``page_signals``.
+SIGNALS = ("function_variety", "anchors", "figures", "compressed", "priced")
+
+
+def page_signals(text: str) -> list[float]:
+    """The signals named in ``SIGNALS``. ``function_variety`` is the number of different function words by the square root
+    of the number of words, where two Chinese characters count as a word; ``anchors`` a share of pieces, ``figures`` of
+    characters, ``priced`` of lines."""
+    pieces = text.lower().split()
+    n_words, variety = len(pieces), len(FUNCTION_WORDS.intersection(w.strip(".,;:!?()\"") for w in pieces))
+    if not text.isascii() and (chinese := len(_CJK.findall(text))):
+        n_words, variety = max(n_words, chinese // 2), variety + len(_CJK_FUNCTION.intersection(text))
+    anchors = [m.group() for m in _ANCHOR.finditer(text)] if "." in text else []
+    rest = _ANCHOR.sub(" ", text) if anchors else text
+    in_anchors = sum(len(a.split()) for a in anchors)
+    beside = sum(not w.isascii() or any(map(str.isalnum, w)) for w in rest.split())
+    raw = text.encode("utf-8", "replace")
+    lines = [line for line in text.split("\n") if line.strip()]
+    priced = sum(bool(_PRICE.search(line[-20:])) and len(_PRICED_WORDS.findall(line[:200])) >= 3 for line in lines)
+    figures = len(_FIGURE.findall(rest)) / max(1, sum(map(len, rest.split())))
+    return [variety / sqrt(max(1, n_words)), in_anchors / max(1, in_anchors + beside), figures, len(zlib.compress(raw, 1)) / max(1, len(raw)), priced / max(1, len(lines))]
 
 
 def kind_of(line: str, words: list[str], functions: int) -> int:
@@ -81,10 +113,10 @@ def page_features(text: str) -> tuple[int, list[float]]:
     """Number of blank-separated words, and the features named in ``NAMES``."""
     counts = [0] * 7
     fenced = False
-    functions_in_all = link_words = hash_words = separators = lines = short_lines = 0
-    seen: set[str] = set()
-    total = 0
-    longest_repeat: dict[str, int] = {}
+    link_words = hash_words = separators = lines = short_lines = 0
+    seen: Counter[str] = Counter()
+    pairs: set[tuple[str, str]] = set()
+    total = n_pairs = 0
     for line in text.split("\n"):
         words = line.lower().split()
         if not words:
@@ -101,15 +133,16 @@ def page_features(text: str) -> tuple[int, list[float]]:
             counts[MATTER] += n
             continue
         seen.update(words)
+        pairs.update(zip(words, words[1:]))
+        n_pairs += n - 1
         functions = sum(map(FUNCTION_WORDS.__contains__, words))
-        functions_in_all += functions
         kind = kind_of(line, words, functions)
         if kind == PROSE and n > 30 and functions < 0.22 * n or kind == KEYWORDS and n > 14 and functions:
             # a line of both: by its sentences
             for sentence in _SENTENCES.split(line):
                 own = sentence.lower().split()
                 if own:
-                    counts[PROSE if is_sentence(own) and "for you" not in sentence else KEYWORDS if kind == KEYWORDS else kind_of(sentence, own, sum(map(FUNCTION_WORDS.__contains__, own)))] += len(own)
+                    counts[PROSE if is_sentence(own) else KEYWORDS if kind == KEYWORDS else kind_of(sentence, own, sum(map(FUNCTION_WORDS.__contains__, own)))] += len(own)
         else:
             counts[kind] += n
         if kind == SHORT:
@@ -119,8 +152,6 @@ def page_features(text: str) -> tuple[int, list[float]]:
         if kind != PROSE:
             hash_words += sum(w[0] == "#" for w in words)
             separators += sum(w in ("-", "|", "/", "»", "*", "·", "•") for w in words) + line.count(",")
-            for w in words:
-                longest_repeat[w] = longest_repeat.get(w, 0) + 1
     if short_lines >= 5:  # a list of keywords by lines
         counts[KEYWORDS] += counts[SHORT]
     elif counts[SHORT]:
@@ -128,7 +159,6 @@ def page_features(text: str) -> tuple[int, list[float]]:
     if not total:
         return 0, [0.0] * len(NAMES)
     share = [counts[k] / total for k in (LINKS, KEYWORDS, TAGS, PRODUCTS, PROSE, MATTER)]
-    from math import log1p
-
-    rest = [functions_in_all / total, len(seen) / total, link_words / total, hash_words / total, separators / total, total / lines, log1p(total), max(longest_repeat.values(), default=0) / total]
-    return total, share + rest
+    outside = max(1, seen.total())  # words outside of code fences
+    rest = [len(seen) / outside, link_words / total, hash_words / total, separators / total, total / lines, log1p(total)]
+    return total, share + rest + [max(seen.values(), default=0) / outside, 1 - len(pairs) / max(1, n_pairs) if n_pairs else 0.0]

@@ -1,9 +1,9 @@
 """Problem 8: pages made of keywords, links or tags instead of sentences.
 
-Bagged decision trees on content and link features are trained from weak labels: pages whose words lie mostly, or hardly at
-all, in strings of keywords and lists of links, tags or products. Pages between are left unlabelled. The trees' predictions
-for all pages are then smoothed with the spam rate of the page's host. Pages so found are confirmed by the definition: more
-than half of their words lie in such strings and lists.
+Bagged decision trees on content and link features are trained from weak labels. The labels come from votes on signals that
+aren't features: few or many different function words, anchors, prices at the ends of lines, figures, compressibility. Pages
+on which the votes don't agree, or that have none, are left unlabelled. The trees' predictions for all pages are then
+smoothed with the spam rate of the page's host, and a page is spam by its score.
 """
 
 from __future__ import annotations
@@ -17,39 +17,45 @@ from pyspark.sql import functions as F
 from rollmill.llm import pagefeatures
 from rollmill.session import written
 
-#: Share of listed words from which a page is labelled spam, and up to which it is labelled clean.
-WEAK_SPAM, WEAK_CLEAN = 0.6, 0.4
 #: Labelled rows that the trees are trained on, at most about.
 LABELLED_ROWS = 20_000
 TREES, DEPTH = 16, 5
 #: Weight of the host's rate in a page's score, pages that the overall rate counts for in a host's rate, and least score.
-HOST_WEIGHT, PRIOR_PAGES, LEAST_SCORE = 0.25, 10.0, 0.4
-_LISTED = 4  # the first features: shares of words in links, keywords, tags and products
+HOST_WEIGHT, PRIOR_PAGES, LEAST_SCORE = 0.1, 10.0, 0.5
+
+
+def votes(variety: float, anchors: float, figures: float, compressed: float, priced: float, n_words: int) -> int:
+    """The weak label by the signals: 1 for spam, 0 for clean, -1 if the votes differ or there are none."""
+    spam = anchors > 0.5 or priced > 0.5 and variety < 0.5 or variety <= 0.3 and n_words >= 20 and figures < 0.12 and compressed < 0.65
+    clean = anchors < 0.2 and priced < 0.05 and (variety >= 0.8 or figures > 0.12)
+    return -1 if spam == clean else int(spam)
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "site") -> DataFrame:
-    """``key, host, n_words, listed, features``; pages with null or blank text have no words."""
+    """``key, host, n_words, label, features``; pages with null or blank text have no words and no label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [pagefeatures.page_features(t) if t else (0, [0.0] * len(pagefeatures.NAMES)) for t in batch.column(2).to_pylist()]
-            columns = [pa.array([n for n, _ in pages], pa.int32()), pa.array([sum(f[:_LISTED]) for _, f in pages], pa.float64()), pa.array([f for _, f in pages], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "host", "n_words", "listed", "features"])
+            texts = batch.column(2).to_pylist()
+            pages = [pagefeatures.page_features(t) if t else (0, [0.0] * len(pagefeatures.NAMES)) for t in texts]
+            labels = [votes(*pagefeatures.page_signals(t), n) if n else -1 for t, (n, _) in zip(texts, pages)]
+            columns = [pa.array([n for n, _ in pages], pa.int32()), pa.array(labels, pa.int32()), pa.array([f for _, f in pages], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "host", "n_words", "label", "features"])
 
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "key long, host string, n_words int, listed double, features array<double>")
+    return own.mapInArrow(run, "key long, host string, n_words int, label int, features array<double>")
 
 
 def scored(pages: DataFrame, labelled_rows: int = LABELLED_ROWS, seed: int = 7) -> DataFrame:
     """``pages`` with ``probability`` by the trees and ``score`` smoothed by host.
 
-    If the labelled rows are of one class or none, nothing can be learned and the share of listed words stands in.
+    If the labelled rows are of one class or none, nothing can be learned and the labels stand for the probabilities, 0 for
+    pages without one.
     """
-    label = F.when(F.col("listed") >= WEAK_SPAM, 1.0).when(F.col("listed") <= WEAK_CLEAN, 0.0)
-    labelled = pages.where("n_words > 0").withColumn("label", label).where("label IS NOT NULL")
+    labelled = pages.where("label >= 0").withColumn("label", F.col("label").cast("double"))
     n = {row.label: row.n for row in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        guessed = pages.withColumn("probability", F.col("listed"))
+        guessed = pages.withColumn("probability", F.greatest("label", F.lit(0)).cast("double"))
     else:
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -73,11 +79,11 @@ def scored(pages: DataFrame, labelled_rows: int = LABELLED_ROWS, seed: int = 7)
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "site") -> DataFrame:
     """``key`` of the spam pages, once each. Null keys, null, empty and blank texts are none; a null host has the overall rate."""
     pages = written(features(docs, key, text, host))
-    return scored(pages).where((F.col("score") >= LEAST_SCORE) & (F.col("listed") > 0.5)).select(F.col("key").alias(key)).distinct()
+    return scored(pages).where(F.col("score") >= LEAST_SCORE).select(F.col("key").alias(key)).distinct()
 
 
 def host_rates(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "site") -> DataFrame:
     """Per host (null is one): pages with words, spam pages, and their share. Rows count as stored."""
     pages = scored(written(features(docs, key, text, host))).where("n_words > 0")
-    spam = (F.col("score") >= LEAST_SCORE) & (F.col("listed") > 0.5)
+    spam = F.col("score") >= LEAST_SCORE
     return pages.groupBy(F.col("host").alias(host)).agg(F.count("*").alias("n_pages"), F.count_if(spam).alias("n_spam")).withColumn("spam_share", F.col("n_spam") / F.col("n_pages"))
