@@ -4,16 +4,19 @@ Test texts are cut into character q-grams with their places; a corpus text's q-g
 least ``m`` characters with at most ``e`` edits shares at least ``m + 1 - q * (e + 1)`` q-grams with its source, all of them
 within a band of ``2 e + 1`` diagonals. So positions are kept that lie in a window with that many known q-grams, their hits
 are counted in overlapping diagonal bands, and the regions that meet the bound of some passage they touch are verified by
-banded alignment.
+banded alignment: along every diagonal of the band, the stretches of equal characters and the whole words in them; over the
+whole region, the edits within the band. Texts with a passage too short to bear an edit have an index of their own, without
+edits, so that they don't lower the bound of the others.
 
-The test set is broadcast in blocks of a bounded number of texts, one pass over the corpus for each block.
+The test set is broadcast in blocks of a bounded number of texts, one pass over the corpus for each block. Each worker builds
+the index of a block once.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -72,18 +75,18 @@ class TestTexts:
     """Index of one block of test texts: (item, part, text in normal form)."""
 
     def __init__(self, texts: list[tuple[int, str, str]], run_words: int = RUN_WORDS, q: int = Q, edits: int = EDITS):
-        self.run_words, self.q = run_words, q
+        self.run_words = run_words
         self.labels = [(item, part) for item, part, _ in texts]
         self.texts = [text for _, _, text in texts]
         self.words = [text.split(" ") for text in self.texts]
-        spans = [len(" ".join(w[i : i + run_words])) for w in self.words for i in range(len(w) - run_words + 1)]
         #: Characters of the shortest passage. It bounds the edits that the lemma can bear.
-        self.least = min(spans, default=0)
+        self.least = min((shortest_passage(w, run_words) for w in self.words), default=0)
         self.edits = max(0, min(edits, (self.least + 1) // q - 1))
         self.q = min(q, max(1, self.least))
         self.bound = self.least + 1 - self.q * (self.edits + 1)
         joined = "\x01".join(self.texts)
-        hashes = gram_hashes(code_points(joined), self.q)
+        self.points = code_points(joined)
+        hashes = gram_hashes(self.points, self.q)
         starts = np.cumsum([0] + [len(t) + 1 for t in self.texts])
         at = np.arange(len(hashes))
         text_no = np.searchsorted(starts, at, side="right") - 1
@@ -94,7 +97,6 @@ class TestTexts:
         self.need = self._needed(len(joined))[self.at] if len(self.at) else np.zeros(0, np.int64)
         self.known = np.zeros(1 << _MAP_BITS, bool)
         self.known[(self.hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
-        self.windows: dict[int, set[tuple[str, ...]]] = {}
 
     def _needed(self, size: int) -> np.ndarray:
         """For the gram at each place of the joined texts: the least number of grams that the lemma wants of a passage (a window
@@ -111,14 +113,9 @@ class TestTexts:
                 np.minimum(own, end - first + 1 - self.q * (self.edits + 1), out=own)
         return need
 
-    def window_set(self, text_no: int) -> set[tuple[str, ...]]:
-        if text_no not in self.windows:
-            w, n = self.words[text_no], self.run_words
-            self.windows[text_no] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-        return self.windows[text_no]
-
-    def candidates(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text number, start and end in the corpus text, start and end in the test text) of regions within the bound."""
+    def candidates(self, points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        """(text number, start and end in the corpus text, start and end in the test text, least and greatest diagonal) of
+        regions within the bound. No region runs over one of the ``starts``."""
         hashes = gram_hashes(points, self.q)
         if not len(hashes) or not len(self.hashes):
             return
@@ -135,6 +132,9 @@ class TestTexts:
         np.add.at(reach, begins, 1)
         np.add.at(reach, np.minimum(begins + width, n), -1)
         places = np.flatnonzero(known & (np.cumsum(reach[:n]) > 0))
+        # grams over the end of a message are of no message
+        message = np.searchsorted(starts, places, side="right")
+        places = places[message == np.searchsorted(starts, places + self.q - 1, side="right")]
         low = np.searchsorted(self.hashes, hashes[places], side="left")
         high = np.searchsorted(self.hashes, hashes[places], side="right")
         times = high - low
@@ -149,13 +149,14 @@ class TestTexts:
         for shift in (0, band_width // 2):
             band = (diagonal + shift) // band_width
             order = np.lexsort((place, band, text_no))
-            p, s, t, b, least = place[order], source[order], text_no[order], band[order], need[order]
-            new = np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > width)]
+            p, s, t, b, least, d = place[order], source[order], text_no[order], band[order], need[order], diagonal[order]
+            message = np.searchsorted(starts, p, side="right")
+            new = np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > width) | (message[1:] != message[:-1])]
             begin = np.flatnonzero(new)
             end = np.r_[begin[1:], len(p)]
             enough = end - begin >= np.minimum.reduceat(least, begin)
             for i, j in zip(begin[enough].tolist(), end[enough].tolist()):
-                yield int(t[i]), int(p[i]), int(p[j - 1]) + self.q, int(s[i:j].min()), int(s[i:j].max()) + self.q
+                yield int(t[i]), int(p[i]), int(p[j - 1]) + self.q, int(s[i:j].min()), int(s[i:j].max()) + self.q, int(d[i:j].min()), int(d[i:j].max())
 
     def aligned(self, a: str, b: str, most: int) -> int | None:
         """Edits between two regions if at most ``most``, by dynamic programming within the band of ``most`` diagonals. What
@@ -198,22 +199,42 @@ def common_start(a: str, b: str) -> int:
     return low
 
 
-def longest_run(a: list[str], b: list[str], least: int, windows: set[tuple[str, ...]]) -> int:
-    """Length of the longest run of words of ``a`` in ``b`` if at least ``least`` (whose runs are ``windows``), else 0."""
-    hits = [tuple(a[i : i + least]) in windows for i in range(len(a) - least + 1)]
-    if not any(hits):
-        return 0
-    runs = [sum(1 for _ in own) for hit, own in groupby(hits) if hit]
-    longest, text = least, f" {' '.join(b)} "
-    for i in range(len(hits)):
-        while hits[i] and longest < least + max(runs) - 1 and f" {' '.join(a[i : i + longest + 1])} " in text and i + longest < len(a):
-            longest += 1
-    return longest
+def shortest_passage(words: list[str], run_words: int) -> int:
+    """Characters of the shortest run of so many words; 0 if there are fewer."""
+    ends = np.cumsum([0] + [len(w) + 1 for w in words])
+    return int((ends[run_words:] - ends[:-run_words]).min()) - 1 if len(words) >= run_words else 0
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, diagonals: range, least: int) -> int:
+    """Whole words in the longest stretch that ``a`` and ``b`` (code points of texts in normal form) have in common on one of
+    the ``diagonals`` (place in ``a`` less place in ``b``); 0 if under ``least`` words."""
+    best = 0
+    for d in diagonals:
+        low, high = max(0, d), min(len(a), len(b) + d)
+        if high - low < 2 * least - 1:
+            continue
+        x, y = a[low:high], b[low - d : high - d]
+        breaks = np.flatnonzero(np.r_[True, x != y, True])  # a stretch lies between two of these, less one
+        long_enough = np.flatnonzero(np.diff(breaks) >= 2 * least)
+        for i, j in zip(breaks[long_enough].tolist(), (breaks[long_enough + 1] - 1).tolist()):
+            # the words' edges within x[i:j]: blanks, and its ends where both texts have an edge there
+            blanks = np.flatnonzero(x[i:j] == _BLANK)
+            at_start = _edge(a, low + i - 1) and _edge(b, low + i - d - 1)
+            at_end = _edge(a, low + j) and _edge(b, low + j - d)
+            best = max(best, len(blanks) - 1 + at_start + at_end)
+    return best if best >= least else 0
+
+
+_BLANK = 32
+
+
+def _edge(points: np.ndarray, at: int) -> bool:
+    return at < 0 or at >= len(points) or points[at] == _BLANK
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, key: str = "chat_id", item_key: str = "item_id", run_words: int = RUN_WORDS) -> DataFrame:
     """FOUND rows: each passage of an item's question or answer in a message of a document, with the edits of its alignment
-    and its longest run of equal words (0 if under ``run_words``).
+    (null if the region has more than its budget) and its longest run of equal words (0 if under ``run_words``).
 
     ``docs`` has ``messages``; null messages, null and empty contents hold nothing. Items with a null key or null texts hold
     nothing in these. Test texts shorter than ``run_words`` words can't be found. Repeated rows of either side repeat rows of
@@ -232,14 +253,29 @@ def leaked_passages(docs: DataFrame, items: DataFrame, key: str = "chat_id", ite
         own = texts.where(F.pmod(F.xxhash64("item", "part", "text"), F.lit(blocks)) == block).collect()  # at most about BLOCK_TEXTS
         index = [(r.item, ("question", "answer")[r.part], normal_form(r.text)) for r in own]
         index = sorted(x for x in index if x[2].count(" ") + 1 >= run_words)
-        found = corpus.mapInArrow(_searcher(spark.sparkContext.broadcast(index), run_words), FOUND)
+        found = corpus.mapInArrow(_searcher(spark.sparkContext.broadcast(index), run_words, uuid.uuid4().hex), FOUND)
         parts = found if parts is None else parts.unionByName(found)
     return parts
 
 
-def _searcher(index, run_words: int):
+#: The indexes that this worker built last, by the name of their block.
+_built: dict[str, list[TestTexts]] = {}
+
+
+def indexes(texts: list[tuple[int, str, str]], run_words: int = RUN_WORDS) -> list[TestTexts]:
+    """The index of the texts that can bear an edit in every passage, and that of the others."""
+    short = [shortest_passage(t[2].split(" "), run_words) < 2 * Q for t in texts]
+    parts = ([t for t, s in zip(texts, short) if s == which] for which in (False, True))
+    return [TestTexts(part, run_words) for part in parts if part]
+
+
+def _searcher(index, run_words: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestTexts(index.value, run_words)
+        if name not in _built:
+            _built.clear()
+            _built[name] = indexes(index.value, run_words)
+        tests = _built[name]
+        least = min((t.least for t in tests), default=0)
         for batch in batches:
             rows: list[tuple] = []
             keys, lists = batch.column(0).to_pylist(), batch.column(1)
@@ -249,13 +285,13 @@ def _searcher(index, run_words: int):
             size = 0
             for key, start, end in zip(keys, ends, ends[1:]):
                 for i in range(start, end):
-                    if contents[i] and len(text := normal_form(contents[i])) >= tests.least:
+                    if contents[i] and len(text := normal_form(contents[i])) >= least:
                         piece.append((key, i - start, text))
                         size += len(text) + 1
                         if size >= PIECE_CHARS:
-                            rows += _search(tests, piece)
+                            rows += _search_all(tests, piece)
                             piece, size = [], 0
-            rows += _search(tests, piece)
+            rows += _search_all(tests, piece)
             columns = list(zip(*rows)) or [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in FOUND.split(", ")])
@@ -263,28 +299,29 @@ def _searcher(index, run_words: int):
     return run
 
 
-def _search(tests: TestTexts, piece: list[tuple[int, int, str]]) -> list[tuple]:
-    if not piece or not tests.texts:
+def _search_all(tests: list[TestTexts], piece: list[tuple[int, int, str]]) -> list[tuple]:
+    if not piece:
         return []
-    joined = "\n".join(text for _, _, text in piece)
+    points = code_points("\n".join(text for _, _, text in piece))
     starts = np.cumsum([0] + [len(text) + 1 for _, _, text in piece])
+    return [row for own in tests for row in _search(own, piece, points, starts)]
+
+
+def _search(tests: TestTexts, piece: list[tuple[int, int, str]], points: np.ndarray, starts: np.ndarray) -> list[tuple]:
     best: dict[tuple, tuple] = {}
-    for text_no, p, p_end, s, s_end in dict.fromkeys(tests.candidates(code_points(joined))):
+    for text_no, p, p_end, s, s_end, low, high in dict.fromkeys(tests.candidates(points, starts)):
         m = int(np.searchsorted(starts, p, side="right")) - 1
         key, number, text = piece[m]
         base = int(starts[m])
         test, test_base = tests.texts[text_no], int(tests.starts[text_no])
-        # the region and, on either side, the rest of the words that it cuts
-        left = max(0, text.rfind(" ", 0, max(0, p - base - tests.q)) + 1)
-        right = text.find(" ", p_end - base + tests.q)
-        words = text[left : right if right >= 0 else len(text)].split(" ")
-        run = longest_run(words, tests.words[text_no], tests.run_words, tests.window_set(text_no))
+        # the region with the words that it cuts and the band's diagonals around those seen
+        left, right = max(0, p - base - tests.q - 64), min(len(text), p_end - base + tests.q + 64)
+        shift = test_base - base - left
+        run = longest_run(points[base + left : base + right], tests.points[test_base : test_base + len(test)], range(low + shift, high + shift + 1), tests.run_words)
         most = max(1, tests.edits) * max(1, -(-(s_end - s) // tests.least))
         edits = tests.aligned(text[p - base : p_end - base], test[s - test_base : s_end - test_base], most)
-        if edits is None:
-            if not run:
-                continue
-            edits = 0  # the region as a whole doesn't align, the run within it does
+        if edits is None and not run:
+            continue
         label = (key, *tests.labels[text_no], number)
         row = (*label, p_end - p, edits, run)
         if label not in best or (row[6], row[4]) > (best[label][6], best[label][4]):

@@ -119,6 +119,39 @@ def test_parity_bounds_the_difference():
         assert bits <= len(np.setxor1d(a, b))
 
 
+def test_bits_of_levels_fold():
+    """A record's bits folded to a level below are the bits of that level, and bound the difference to shorter records."""
+    random.seed(6)
+    words = np.array(sorted(random.sample(range(1 << 47), 700)), np.uint64)
+    assert [neardup.level_of(n) for n in (1, 192, 193, 384, 385, 700)] == [0, 0, 1, 1, 2, 2]
+    bits = neardup.parity_of(words)
+    assert len(bits) == 4 * neardup.PARITY_WORDS
+    while len(bits) > neardup.PARITY_WORDS:
+        bits = neardup._folded(bits)
+    assert (bits.view(np.int64) == neardup.short_sketches([words])[0]).all()
+
+
+def test_keys_grow_with_the_words():
+    logs = np.full(1 << neardup.BUCKET_BITS, neardup._log_of(5), np.uint8)
+    for n in (100, 2000, 20_000):
+        words = np.array(sorted(random.sample(range(1 << 47), n)), np.uint64)
+        of, keys = neardup.keys_of([words, words[:40]], logs, neardup._log_of(neardup.RARE), Fraction(7, 10))
+        assert (of == 0).sum() <= 8 * n and len(np.unique(keys)) > n // 2
+
+
+def test_long_records_and_many_copies(spark):
+    random.seed(9)
+    words = [f"v{i}" for i in range(60_000)]
+    long = random.sample(words, 20_000)
+    texts = [(1, " ".join(long)), (2, " ".join(long[:17_500] + random.sample(words, 2_000))), (3, " ".join(random.sample(words, 20_000)))]
+    texts += [(10 + i, "one text that is delivered over and over again " + " ".join(words[:20])) for i in range(2000)]
+    texts += [(5000 + i, "one text that is delivered over and over again " + " ".join(words[:20]) + f" x{i}") for i in range(300)]
+    got = {r.chat_id: r.root for r in neardup.near_groups(chats(spark, texts)).collect()}
+    assert got[2] == 1 and got[3] == 3 and all(root == 10 for key, root in got.items() if key >= 10)
+    pairs = neardup.grouped_pairs(neardup.near_groups(chats(spark, texts[:300])), part_rows=50)
+    assert pairs.count() == pairs.distinct().count() == 1 + 297 * 296 // 2
+
+
 def test_packing_round_trip():
     words = np.array([0, 1, (1 << 48) - 1, 123456789], np.uint64)
     assert (neardup.unpacked(neardup.packed(words)) == words).all()
