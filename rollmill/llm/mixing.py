@@ -7,6 +7,7 @@ seed, so the choice doesn't depend on partitions.
 
 The prefix sums over a source are taken in two steps, however large it is: tokens are added up by intervals of keys, these
 sums are accumulated (at most ``INTERVALS`` rows a source), and only the interval in which the budget ends is sorted by row.
+The intervals are even shares of a source: their bounds follow from how the source's weights are distributed.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollmill.llm import bpe
 from rollmill.session import cut_lineage
 
-INTERVALS = 4096
+INTERVALS, WEIGHT_STEPS = 4096, 40
 #: Characters a token of text that the tokenizer knows well; less lowers a document's weight, to ``LEAST_WEIGHT`` at least.
 GOOD_CHARS, LEAST_WEIGHT = 4.0, 0.1
 
@@ -60,12 +61,28 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return per_source.withColumn("target_tokens", tokens).withColumn("epochs", epochs.cast("int")).withColumn("rest", rest)
 
 
+def weight_shares(sizes: DataFrame) -> DataFrame:
+    """``source, weights``: how many of a source's documents have a weight in each of ``WEIGHT_STEPS`` steps, as shares."""
+    step = F.least(F.greatest(F.ceil(F.col("weight") * WEIGHT_STEPS), F.lit(1)), F.lit(WEIGHT_STEPS))
+    counts = sizes.groupBy("source", ((step - 0.5) / WEIGHT_STEPS).alias("w")).agg(F.count("*").alias("n"))
+    return counts.groupBy("source").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("w", "n"))).alias("steps")).select(
+        "source", F.transform("steps", lambda x: F.struct(x["w"].alias("w"), (x["n"] / F.col("all")).alias("share"))).alias("weights")
+    )
+
+
+def interval_of(sample_key: Column, weights: Column) -> Column:
+    """The number of a key's interval: the share of the source's keys expected below it, in ``INTERVALS`` steps. It never
+    falls as the key rises."""
+    below = F.aggregate(weights, F.lit(0.0), lambda total, x: total + x["share"] * (1 - F.exp(-x["w"] * sample_key)))
+    return F.least(F.floor(below * INTERVALS), F.lit(INTERVALS - 1)).cast("int")
+
+
 def chosen(sizes: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
     """``mix_name, source, doc_id, n_tokens, repeats`` of the documents in each mix."""
     u = (F.pmod(F.xxhash64("mix_name", "doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = sizes.join(plan.select("mix_name", "source", "epochs", "rest"), "source").where("epochs > 0 OR rest > 0").withColumn("sample_key", -F.log(u) / F.col("weight"))
-    # 1 - exp(-key) spreads the keys of weight 1 evenly
-    keyed = keyed.withColumn("interval", F.least(F.floor((1 - F.exp(-F.col("sample_key"))) * INTERVALS), F.lit(INTERVALS - 1)).cast("int"))
+    wanted = plan.select("mix_name", "source", "epochs", "rest").join(weight_shares(sizes), "source", "left")
+    keyed = sizes.join(wanted, "source").where("epochs > 0 OR rest > 0").withColumn("sample_key", -F.log(u) / F.col("weight"))
+    keyed = keyed.withColumn("interval", interval_of(F.col("sample_key"), F.col("weights"))).drop("weights")
     group = Window.partitionBy("mix_name", "source")
     sums = keyed.where("rest > 0").groupBy("mix_name", "source", "interval", "rest").agg(F.sum("n_tokens").alias("n"))
     ending = (

@@ -6,8 +6,10 @@ counts by the interval's next ``bits`` bits, of which prefix sums are the counts
 target rank becomes the next one. When few rows are left within the intervals, one pass counts them by all remaining bits.
 
 The first pass is made of partial results per day: counts by the leading 16 bits (sign, exponent and 4 bits of the
-mantissa). They are added up over days, partitions or later deliveries, and give every percentile within a relative error
-of 2**-4 (``bounds_from_partials``) without reading the data again; the further passes make it exact.
+mantissa); the further passes make it exact. Partial results that are kept count by the leading ``PARTIAL_BITS`` (12 bits of
+the mantissa): they are added up over days, partitions or later deliveries, and give every percentile within a relative
+error of 2**-12 (``bounds_from_partials``), of all days or of each (``daily_bounds``), without reading the data again. A
+table of them has at most 4096 rows a power of two for each day, group and column, however many values there are.
 
 A percentile ``p`` of ``n`` values is the value of rank ceil(p n / 100), the least that at least ``p`` percent are not above.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from rollmill.session import cut_lineage
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
-FIRST_BITS, NEXT_BITS = 16, 12
+FIRST_BITS, NEXT_BITS, PARTIAL_BITS = 16, 12, 24
 #: So few rows within the intervals are counted by all their remaining bits.
 FEW = 500_000
 #: Groups whose intervals are broadcast at once (at most so many times the percentiles, 16 bytes each).
@@ -57,7 +59,7 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows[valid], numbers[valid]
 
 
-def partial_counts(df: DataFrame, group: str, columns: list[str], at: str, bits: int = FIRST_BITS) -> DataFrame:
+def partial_counts(df: DataFrame, group: str, columns: list[str], at: str, bits: int = PARTIAL_BITS) -> DataFrame:
     """``day, grp, metric, prefix, n``: values per day of ``at`` by their leading ``bits`` bits. Partial results of disjoint
     rows are combined by adding ``n``. Nulls, null arrays, null elements and NaN aren't counted; infinities are values like
     others. A null day or group is one of its own."""
@@ -112,7 +114,7 @@ def _edges(bits: int):
     return both
 
 
-def bounds_from_partials(partials: DataFrame, bits: int = FIRST_BITS) -> DataFrame:
+def bounds_from_partials(partials: DataFrame, bits: int = PARTIAL_BITS) -> DataFrame:
     """``grp, metric, percent, n_values, low, high``: from partial results alone, bounds that hold the percentile. For normal
     doubles ``high - low`` is under ``2 ** (12 - bits)`` times the value's magnitude. No pass over the data."""
     counts = partials.groupBy("grp", "metric", F.lit(0).cast("long").alias("base"), "prefix").agg(F.sum("n").alias("n"))
@@ -120,6 +122,16 @@ def bounds_from_partials(partials: DataFrame, bits: int = FIRST_BITS) -> DataFra
     return found.withColumn("edges", _edges(bits)("base")).select("grp", "metric", "percent", F.col("total").alias("n_values"), "edges.low", "edges.high")
 
 
+def daily_bounds(partials: DataFrame, bits: int = PARTIAL_BITS) -> DataFrame:
+    """``day, grp, metric, percent, n_values, low, high``: the bounds of each day's percentiles, from the same partial results."""
+    up_to = Window.partitionBy("day", "grp", "metric").orderBy("prefix")
+    whole = Window.partitionBy("day", "grp", "metric")
+    sums = partials.withColumn("through", F.sum("n").over(up_to)).withColumn("total", F.sum("n").over(whole))
+    ranked = sums.withColumn("percent", F.explode(F.array(*map(F.lit, PERCENTS)))).withColumn("rank", F.expr("(percent * total + 99) div 100"))
+    found = ranked.where("rank <= through AND rank > through - n")
+    return found.withColumn("edges", _edges(bits)("prefix")).select("day", "grp", "metric", "percent", F.col("total").alias("n_values"), "edges.low", "edges.high")
+
+
 def percentiles(df: DataFrame, group: str, columns: list[str], at: str) -> DataFrame:
     """``group, metric, percent, n_values, value, error_bound`` of each group (null is one), column and percentile.
 
@@ -127,7 +139,7 @@ def percentiles(df: DataFrame, group: str, columns: list[str], at: str) -> DataF
     infinities, fill values and repeated rows do, as stored. A group without values has no row. Each pass over the data counts
     within its tasks first, so a group of any size or a single repeated value costs no more than others.
     """
-    partials = partial_counts(df, group, columns, at)
+    partials = partial_counts(df, group, columns, at, FIRST_BITS)
     counts = partials.groupBy("grp", "metric", F.lit(0).cast("long").alias("base"), "prefix").agg(F.sum("n").alias("n"))
     live, bits = cut_lineage(_targets(counts, None)), FIRST_BITS
     while bits < 64:

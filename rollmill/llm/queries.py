@@ -42,6 +42,10 @@ def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.bounds_from_partials(p4_partials(spark, sf_dir))
 
 
+def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.daily_bounds(p4_partials(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "chats"), table(spark, sf_dir, "eval_items"))
 
@@ -75,7 +79,7 @@ def p8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p4_percentiles, p4_partials, p4_bounds, p5_found, p5_passages, p5_sources, p6_ids, p7_mix, p7_shares, p8_found, p8_hosts)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_rates, p4_percentiles, p4_partials, p4_bounds, p4_daily, p5_found, p5_passages, p5_sources, p6_ids, p7_mix, p7_shares, p8_found, p8_hosts)}
 
 
 #: Words, links and groups of chats by joining every pair that shares a word; for small tables.

@@ -25,6 +25,27 @@ _LAST_LINE_RESULT = re.compile(
 _CUT_END = re.compile(r"(?:…|\.\.\.|�|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#?\w{0,8})|%[0-9A-Fa-f])\Z")
 
 
+#: Plain brackets and straight quotes; an apostrophe or a measure in inches is no quote.
+_PLAIN = re.compile(r"[()\[\]（）【】「」]|(?<![\d\\])\"")
+_FENCED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$\$.*?\$\$|\$[^$\n]*\$|\\\(.*?\\\)|\\\[.*?\\\]", re.DOTALL)
+_OPENERS = "([（【「"
+
+
+def open_plain(text: str) -> bool:
+    """Whether a plain bracket or straight quote outside of code and formulas is open at the end. Either kind of bracket closes
+    the last one (half-open intervals); a closing bracket without an opening one is a list number."""
+    depth, quoted = 0, False
+    for found in _PLAIN.finditer(_FENCED.sub(" ", text)):
+        mark = found.group()
+        if mark == '"':
+            quoted = not quoted
+        elif mark in _OPENERS:
+            depth += 1
+        elif depth:
+            depth -= 1
+    return quoted or depth > 0
+
+
 def open_marks(text: str) -> list[str]:
     """What is still open at the end: fences, formulas, braces within formulas, tags and directed quotes."""
     stack: list[str] = []
@@ -70,8 +91,9 @@ def open_marks(text: str) -> list[str]:
 
 
 def state_of(text: str | None) -> int:
-    """BLANK without any visible character; CUT if something is left open or broken; UNENDED if only the end mark or
-    result is missing (what that means depends on the source); else FINISHED."""
+    """BLANK without any visible character; CUT if code, a formula or a tag is left open, the end is broken, or a text without
+    end mark or result has an open bracket or quote; UNENDED if only the end mark or result is missing (what that means
+    depends on the source); else FINISHED."""
     if text is None or not (body := text.rstrip(" \t\r\n\f\v ​  ﻿")):
         return BLANK
     tail = body[-300:]
@@ -82,5 +104,7 @@ def state_of(text: str | None) -> int:
         return CUT
     if _END_MARK.search(tail):
         return FINISHED
-    line = tail.rsplit("\n", 1)[-1].strip()
-    return FINISHED if _LAST_LINE_RESULT.search(line) else UNENDED
+    line = body.rsplit("\n", 1)[-1].strip()
+    if _LAST_LINE_RESULT.search(line):
+        return FINISHED
+    return CUT if still_open or open_plain(body) else UNENDED

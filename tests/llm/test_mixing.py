@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import pytest
 
 from rollmill.llm import mixing
@@ -66,3 +67,12 @@ def test_defective_targets_and_empty_tables(spark, corpus):
     assert mixing.mixed(corpus, odd).count() == 0
     assert mixing.mixed(docs(spark, []), targets(spark, [("m", "big", 1.0, 1, 1.0)])).count() == 0
     assert mixing.mixed(corpus, targets(spark, [])).count() == 0
+
+
+def test_intervals_are_even_for_any_weights(spark):
+    """Of weights all at the floor, or mixed, no interval in which a budget may end holds over a hundredth of the source."""
+    for weight in ("0.1D", "CASE WHEN id % 3 = 0 THEN 0.1D WHEN id % 3 = 1 THEN 0.33D ELSE 1.0D END"):
+        sizes = spark.range(40_000).selectExpr("id AS doc_id", "'s' AS source", "1L AS n_tokens", f"{weight} AS weight")
+        keyed = sizes.crossJoin(mixing.weight_shares(sizes).select("weights")).selectExpr("*", "-ln((pmod(xxhash64(doc_id), 1048576) + 0.5) / 1048576) / weight AS sample_key")
+        most = keyed.select(mixing.interval_of(F.col("sample_key"), F.col("weights")).alias("i")).groupBy("i").count().agg(F.max("count")).first()[0]
+        assert most <= 400

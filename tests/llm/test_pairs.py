@@ -110,3 +110,38 @@ def test_cut_texts_in_another_language(spark):
     export = spark.createDataFrame([], "uid string, response_id string, global_step long, data_source string, demo_len int")
     assert [(r.n_texts, r.n_cut) for r in pairs.cut_rates(rows, demos, export).collect()] == [(4, 1)]
     assert ("generations", "u", 2, "other_language") in {tuple(r) for r in pairs.defective_pairs(spark.createDataFrame([], CHATS), rows).collect()}
+
+
+LONG_REFUSAL = "I cannot answer this question. " + "Please ask someone qualified instead. Is there anything else you would like to talk about? " * 5
+
+
+@pytest.mark.parametrize(
+    "text, refused",
+    [
+        (LONG_REFUSAL, True), ("I can't help with that request because x = 3 would be needed", True), ("That falls outside what I am prepared to discuss.", True), ("I'd rather not say anything on this topic.", True), ("Nie mogę w tym pomóc.", True),
+        ("I can't solve it directly. First add 3 to both sides and then divide everything by two, which gives the sum. So x = 4.", False), ("I cannot answer this question. #### 4", False), ("", False),
+    ],
+)
+def test_refusals_of_any_length_and_wording(text, refused):
+    assert answers.is_refusal(text) == refused
+
+
+@pytest.mark.parametrize("answer", ["La somma dei numeri è cinquanta cinque perché ogni passo aggiunge di più, e quindi il totale è nella media.", "Сумма чисел равна пятидесяти пяти, потому что каждый шаг добавляет больше.", "A soma dos números é cinquenta e cinco, então não é uma surpresa que cada passo seja mais alto.", "合計は五十五です。それぞれのステップで増えます。", "숫자의 합은 오십오입니다."])
+def test_other_languages_and_scripts(answer):
+    assert answers.is_other_language("What is the sum of the first ten numbers and why does it grow so quickly with each step?", answer)
+    assert not answers.is_other_language("What is the sum of the numbers, in Italian, Russian, Portuguese, Japanese or Korean, please? Why is it so?", answer)
+
+
+@pytest.mark.parametrize(
+    "text, state",
+    [
+        ("x = f(a, b", shape.CUT), ("The set [1, 2, 3 is closed.", shape.FINISHED), ('He said "hello and left', shape.CUT), ("He said “hello and left", shape.CUT), ("Answer: " + "a long reason " * 35 + "7", shape.FINISHED),
+        ("half-open [0, 1) holds", shape.UNENDED), ("1) one 2) two", shape.UNENDED), ("a $(x$ holds", shape.UNENDED), ('a 6" pipe', shape.UNENDED),
+    ],
+)
+def test_brackets_quotes_and_long_answer_lines(text, state):
+    assert shape.state_of(text) == state
+
+
+def test_bare_markup_of_any_length_is_empty():
+    assert answers.is_empty("<div>" * 80 + "</div>" * 80) and not answers.is_empty("<p>text</p>" * 80)

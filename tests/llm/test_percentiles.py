@@ -49,7 +49,14 @@ def test_partials_of_days_combine(spark):
     assert whole == {tuple(r) for r in P.bounds_from_partials(halves).collect()}
     values = [r[1] for r in rows]
     for _, _, percent, n, low, high in whole:
-        assert n == 500 and low <= rank(values, percent) <= high and high - low <= 2**-4 * abs(high)
+        assert n == 500 and low <= rank(values, percent) <= high and high - low <= 2**-12 * abs(high)
+    days: dict = {}
+    for r in rows:
+        days.setdefault(r[3].date(), []).append(r[1])
+    daily = P.daily_bounds(P.partial_counts(table, "g", ["x"], "at")).collect()
+    assert len(daily) == 7 * len(days)
+    for r in daily:
+        assert r.n_values == len(days[r.day]) and r.low <= rank(days[r.day], r.percent) <= r.high <= r.low * (1 + 2**-12) ** 2
 
 
 def test_one_value_and_empty(spark):
