@@ -126,10 +126,10 @@ def test_refusals_of_any_length_and_wording(text, refused):
     assert answers.is_refusal(text) == refused
 
 
-@pytest.mark.parametrize("answer", ["La somma dei numeri è cinquanta cinque perché ogni passo aggiunge di più, e quindi il totale è nella media.", "Сумма чисел равна пятидесяти пяти, потому что каждый шаг добавляет больше.", "A soma dos números é cinquenta e cinco, então não é uma surpresa que cada passo seja mais alto.", "合計は五十五です。それぞれのステップで増えます。", "숫자의 합은 오십오입니다."])
-def test_other_languages_and_scripts(answer):
+@pytest.mark.parametrize("name, answer", [("Italian", "La somma dei numeri è cinquanta cinque perché ogni passo aggiunge di più, e quindi il totale è nella media."), ("Russian", "Сумма чисел равна пятидесяти пяти, потому что каждый шаг добавляет больше."), ("Portuguese", "A soma dos números é cinquenta e cinco, então não é uma surpresa que cada passo seja mais alto."), ("Japanese", "合計は五十五です。それぞれのステップで増えます。"), ("Korean", "숫자의 합은 오십오입니다.")])
+def test_other_languages_and_scripts(name, answer):
     assert answers.is_other_language("What is the sum of the first ten numbers and why does it grow so quickly with each step?", answer)
-    assert not answers.is_other_language("What is the sum of the numbers, in Italian, Russian, Portuguese, Japanese or Korean, please? Why is it so?", answer)
+    assert not answers.is_other_language(f"Answer in {name}: what is the sum of the first ten numbers and why does it grow with each step?", answer)
 
 
 @pytest.mark.parametrize(
