@@ -80,7 +80,8 @@ class TestTexts:
         self.texts = [text for _, _, text in texts]
         self.words = [text.split(" ") for text in self.texts]
         #: Characters of the shortest passage. It bounds the edits that the lemma can bear.
-        self.least = min((shortest_passage(w, run_words) for w in self.words), default=0)
+        self.shortest = [shortest_passage(w, run_words) for w in self.words]
+        self.least = min(self.shortest, default=0)
         self.edits = max(0, min(edits, (self.least + 1) // q - 1))
         self.q = min(q, max(1, self.least))
         self.bound = self.least + 1 - self.q * (self.edits + 1)
@@ -113,9 +114,9 @@ class TestTexts:
                 np.minimum(own, end - first + 1 - self.q * (self.edits + 1), out=own)
         return need
 
-    def candidates(self, points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-        """(text number, start and end in the corpus text, start and end in the test text, least and greatest diagonal) of
-        regions within the bound. No region runs over one of the ``starts``."""
+    def candidates(self, points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """(text number, start and end in the corpus text, start and end in the test text, least and greatest diagonal,
+        grams in common) of regions within the bound. No region runs over one of the ``starts``."""
         hashes = gram_hashes(points, self.q)
         if not len(hashes) or not len(self.hashes):
             return
@@ -155,8 +156,10 @@ class TestTexts:
             begin = np.flatnonzero(new)
             end = np.r_[begin[1:], len(p)]
             enough = end - begin >= np.minimum.reduceat(least, begin)
-            for i, j in zip(begin[enough].tolist(), end[enough].tolist()):
-                yield int(t[i]), int(p[i]), int(p[j - 1]) + self.q, int(s[i:j].min()), int(s[i:j].max()) + self.q, int(d[i:j].min()), int(d[i:j].max())
+            first, last = begin[enough], end[enough] - 1
+            ends = (reduce.reduceat(own, begin)[enough] for reduce, own in ((np.minimum, s), (np.maximum, s), (np.minimum, d), (np.maximum, d)))
+            s_low, s_high, d_low, d_high = ends
+            yield from zip(*(x.tolist() for x in (t[first], p[first], p[last] + self.q, s_low, s_high + self.q, d_low, d_high, last + 1 - first)))
 
     def aligned(self, a: str, b: str, most: int) -> int | None:
         """Edits between two regions if at most ``most``, by dynamic programming within the band of ``most`` diagonals. What
@@ -205,23 +208,24 @@ def shortest_passage(words: list[str], run_words: int) -> int:
     return int((ends[run_words:] - ends[:-run_words]).min()) - 1 if len(words) >= run_words else 0
 
 
-def longest_run(a: np.ndarray, b: np.ndarray, diagonals: range, least: int) -> int:
+def longest_run(a: np.ndarray, b: np.ndarray, diagonals: range, shortest: int, least: int) -> int:
     """Whole words in the longest stretch that ``a`` and ``b`` (code points of texts in normal form) have in common on one of
-    the ``diagonals`` (place in ``a`` less place in ``b``); 0 if under ``least`` words."""
+    the ``diagonals`` (place in ``a`` less place in ``b``); 0 if under ``least`` words, which have ``shortest`` characters
+    or more."""
     best = 0
     for d in diagonals:
         low, high = max(0, d), min(len(a), len(b) + d)
-        if high - low < 2 * least - 1:
+        if high - low < shortest:
             continue
-        x, y = a[low:high], b[low - d : high - d]
-        breaks = np.flatnonzero(np.r_[True, x != y, True])  # a stretch lies between two of these, less one
-        long_enough = np.flatnonzero(np.diff(breaks) >= 2 * least)
-        for i, j in zip(breaks[long_enough].tolist(), (breaks[long_enough + 1] - 1).tolist()):
-            # the words' edges within x[i:j]: blanks, and its ends where both texts have an edge there
-            blanks = np.flatnonzero(x[i:j] == _BLANK)
+        unequal = np.flatnonzero(a[low:high] != b[low - d : high - d])
+        breaks = np.concatenate([[-1], unequal, [high - low]])  # a stretch lies between two of these
+        for k in np.flatnonzero(np.diff(breaks) > shortest).tolist():
+            i, j = int(breaks[k]) + 1, int(breaks[k + 1])
+            # the words' edges within the stretch: blanks, and its ends where both texts have an edge there
+            blanks = int(np.count_nonzero(a[low + i : low + j] == _BLANK))
             at_start = _edge(a, low + i - 1) and _edge(b, low + i - d - 1)
             at_end = _edge(a, low + j) and _edge(b, low + j - d)
-            best = max(best, len(blanks) - 1 + at_start + at_end)
+            best = max(best, blanks - 1 + at_start + at_end)
     return best if best >= least else 0
 
 
@@ -309,15 +313,16 @@ def _search_all(tests: list[TestTexts], piece: list[tuple[int, int, str]]) -> li
 
 def _search(tests: TestTexts, piece: list[tuple[int, int, str]], points: np.ndarray, starts: np.ndarray) -> list[tuple]:
     best: dict[tuple, tuple] = {}
-    for text_no, p, p_end, s, s_end, low, high in dict.fromkeys(tests.candidates(points, starts)):
+    for text_no, p, p_end, s, s_end, low, high, grams in dict.fromkeys(tests.candidates(points, starts)):
         m = int(np.searchsorted(starts, p, side="right")) - 1
         key, number, text = piece[m]
         base = int(starts[m])
         test, test_base = tests.texts[text_no], int(tests.starts[text_no])
-        # the region with the words that it cuts and the band's diagonals around those seen
-        left, right = max(0, p - base - tests.q - 64), min(len(text), p_end - base + tests.q + 64)
-        shift = test_base - base - left
-        run = longest_run(points[base + left : base + right], tests.points[test_base : test_base + len(test)], range(low + shift, high + shift + 1), tests.run_words)
+        run = 0
+        if grams > tests.shortest[text_no] - tests.q:  # every gram of a run of words is in its region
+            left, right = max(0, p - base - 64), min(len(text), p_end - base + 64)
+            shift = test_base - base - left
+            run = longest_run(points[base + left : base + right], tests.points[test_base : test_base + len(test)], range(low + shift, high + shift + 1), tests.shortest[text_no], tests.run_words)
         most = max(1, tests.edits) * max(1, -(-(s_end - s) // tests.least))
         edits = tests.aligned(text[p - base : p_end - base], test[s - test_base : s_end - test_base], most)
         if edits is None and not run:
