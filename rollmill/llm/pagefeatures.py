@@ -27,7 +27,6 @@ _CJK = re.compile(r"[㐀-鿿]")
 _CJK_SENTENCE = re.compile(r"[，。；！？]")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _ANCHOR = re.compile(r"<a\b.*?</a>|https?://\S+|www\.\S+|\]\([^)\s]*\)|\b[\w-]+(?:\.[\w-]+)+/\S*", re.DOTALL | re.IGNORECASE)
-_FIGURE = re.compile(r"[\d{}()\[\]=<>+*/\\$_]")
 _PRICE = re.compile(r"(?:^|[^\w.,])\d{1,9}[.,]\d\d\W{0,4}$")
 _PRICED_WORDS = re.compile(r"(?:^|\s)[^\W\d_]{2,}(?=\s)")
 #: Frequent characters of Chinese sentences.
@@ -37,27 +36,36 @@ _NUMBER = re.compile(r"^[-+$€%]*\d[\d.,%]*$")
 PROSE, MATTER, LINKS, KEYWORDS, TAGS, PRODUCTS, SHORT = range(7)
 #: Names of the features in the order of ``page_features``.
 NAMES = ("links", "keywords", "tags", "products", "prose", "matter", "distinct", "link_words", "hash_words", "separators", "words_per_line", "log_words", "repeated", "repeated_pairs")
-#: Names of the signals in the order of ``page_signals``.
-SIGNALS = ("function_variety", "anchors", "figures", "compressed", "priced")
+#: Names of the signals in the order of ``page_signals``; the other is ``compressed``.
+SIGNALS = ("function_variety", "anchors", "figures", "priced")
+_TO_SPACES = str.maketrans(dict.fromkeys('.,;:!?()"', " "))
+_NO_FIGURES = str.maketrans(dict.fromkeys("0123456789{}()[]=<>+*/\\$_", ""))
 
 
 def page_signals(text: str) -> list[float]:
     """The signals named in ``SIGNALS``. ``function_variety`` is the number of different function words by the square root
     of the number of words, where two Chinese characters count as a word; ``anchors`` a share of pieces, ``figures`` of
     characters, ``priced`` of lines."""
-    pieces = text.lower().split()
-    n_words, variety = len(pieces), len(FUNCTION_WORDS.intersection(w.strip(".,;:!?()\"") for w in pieces))
+    pieces = text.split()
+    n_words, variety = len(pieces), len(FUNCTION_WORDS.intersection(text.lower().translate(_TO_SPACES).split()))
     if not text.isascii() and (chinese := len(_CJK.findall(text))):
         n_words, variety = max(n_words, chinese // 2), variety + len(_CJK_FUNCTION.intersection(text))
     anchors = [m.group() for m in _ANCHOR.finditer(text)] if "." in text else []
-    rest = _ANCHOR.sub(" ", text) if anchors else text
-    in_anchors = sum(len(a.split()) for a in anchors)
-    beside = sum(not w.isascii() or any(map(str.isalnum, w)) for w in rest.split())
-    raw = text.encode("utf-8", "replace")
+    rest, share = "".join(pieces), 0.0
+    if anchors:
+        beside = _ANCHOR.sub(" ", text).split()
+        within = sum(len(a.split()) for a in anchors)
+        share = within / (within + sum(not w.isascii() or any(map(str.isalnum, w)) for w in beside))
+        rest = "".join(beside)
     lines = [line for line in text.split("\n") if line.strip()]
     priced = sum(bool(_PRICE.search(line[-20:])) and len(_PRICED_WORDS.findall(line[:200])) >= 3 for line in lines)
-    figures = len(_FIGURE.findall(rest)) / max(1, sum(map(len, rest.split())))
-    return [variety / sqrt(max(1, n_words)), in_anchors / max(1, in_anchors + beside), figures, len(zlib.compress(raw, 1)) / max(1, len(raw)), priced / max(1, len(lines))]
+    return [variety / sqrt(max(1, n_words)), share, 1 - len(rest.translate(_NO_FIGURES)) / max(1, len(rest)), priced / max(1, len(lines))]
+
+
+def compressed(text: str) -> float:
+    """Bytes of the compressed text by those of the text."""
+    raw = text.encode("utf-8", "replace")
+    return len(zlib.compress(raw, 1)) / max(1, len(raw))
 
 
 def kind_of(line: str, words: list[str], functions: int) -> int:

@@ -24,9 +24,10 @@ TREES, DEPTH = 16, 5
 HOST_WEIGHT, PRIOR_PAGES, LEAST_SCORE = 0.1, 10.0, 0.5
 
 
-def votes(variety: float, anchors: float, figures: float, compressed: float, priced: float, n_words: int) -> int:
+def votes(text: str, n_words: int) -> int:
     """The weak label by the signals: 1 for spam, 0 for clean, -1 if the votes differ or there are none."""
-    spam = anchors > 0.5 or priced > 0.5 and variety < 0.5 or variety <= 0.3 and n_words >= 20 and figures < 0.12 and compressed < 0.65
+    variety, anchors, figures, priced = pagefeatures.page_signals(text)
+    spam = anchors > 0.5 or priced > 0.5 and variety < 0.5 or variety <= 0.3 and n_words >= 20 and figures < 0.12 and pagefeatures.compressed(text) < 0.65
     clean = anchors < 0.2 and priced < 0.05 and (variety >= 0.8 or figures > 0.12)
     return -1 if spam == clean else int(spam)
 
@@ -38,7 +39,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
         for batch in batches:
             texts = batch.column(2).to_pylist()
             pages = [pagefeatures.page_features(t) if t else (0, [0.0] * len(pagefeatures.NAMES)) for t in texts]
-            labels = [votes(*pagefeatures.page_signals(t), n) if n else -1 for t, (n, _) in zip(texts, pages)]
+            labels = [votes(t, n) if n else -1 for t, (n, _) in zip(texts, pages)]
             columns = [pa.array([n for n, _ in pages], pa.int32()), pa.array(labels, pa.int32()), pa.array([f for _, f in pages], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "host", "n_words", "label", "features"])
 
