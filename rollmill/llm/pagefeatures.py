@@ -26,7 +26,8 @@ _TAG_LABEL = re.compile(r"^\W{0,3}(?:tags?|topics?|labels?|filed under|keywords?
 _CJK = re.compile(r"[㐀-鿿]")
 _CJK_SENTENCE = re.compile(r"[，。；！？]")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
-_ANCHOR = re.compile(r"<a\b.*?</a>|https?://\S+|www\.\S+|\]\([^)\s]*\)|\b[\w-]+(?:\.[\w-]+)+/\S*", re.DOTALL | re.IGNORECASE)
+_ANCHOR = re.compile(r"<a\b.*?</a>", re.DOTALL | re.IGNORECASE)
+_DOMAIN = re.compile(r"\W{0,3}[\w-]+(?:\.[\w-]+)+/")
 _PRICE = re.compile(r"(?:^|[^\w.,])\d{1,9}[.,]\d\d\W{0,4}$")
 _PRICED_WORDS = re.compile(r"(?:^|\s)[^\W\d_]{2,}(?=\s)")
 #: Frequent characters of Chinese sentences.
@@ -38,8 +39,13 @@ PROSE, MATTER, LINKS, KEYWORDS, TAGS, PRODUCTS, SHORT = range(7)
 NAMES = ("links", "keywords", "tags", "products", "prose", "matter", "distinct", "link_words", "hash_words", "separators", "words_per_line", "log_words", "repeated", "repeated_pairs")
 #: Names of the signals in the order of ``page_signals``; the other is ``compressed``.
 SIGNALS = ("function_variety", "anchors", "figures", "priced")
-_TO_SPACES = str.maketrans(dict.fromkeys('.,;:!?()"', " "))
-_NO_FIGURES = str.maketrans(dict.fromkeys("0123456789{}()[]=<>+*/\\$_", ""))
+_FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
+_TO_SPACES = bytes(32 if c in b'.,;:!?()"' else c for c in range(256))
+_FIGURES = b"0123456789{}()[]=<>+*/\\$_"
+
+
+def _is_anchor(piece: str) -> bool:
+    return "://" in piece or "](" in piece or piece[:4].lower() == "www." or "/" in piece and _DOMAIN.match(piece) is not None
 
 
 def page_signals(text: str) -> list[float]:
@@ -47,19 +53,23 @@ def page_signals(text: str) -> list[float]:
     of the number of words, where two Chinese characters count as a word; ``anchors`` a share of pieces, ``figures`` of
     characters, ``priced`` of lines."""
     pieces = text.split()
-    n_words, variety = len(pieces), len(FUNCTION_WORDS.intersection(text.lower().translate(_TO_SPACES).split()))
+    n_words, variety = len(pieces), len(_FUNCTION_BYTES.intersection(text.lower().encode("utf-8", "replace").translate(_TO_SPACES).split()))
     if not text.isascii() and (chinese := len(_CJK.findall(text))):
         n_words, variety = max(n_words, chinese // 2), variety + len(_CJK_FUNCTION.intersection(text))
-    anchors = [m.group() for m in _ANCHOR.finditer(text)] if "." in text else []
-    rest, share = "".join(pieces), 0.0
-    if anchors:
-        beside = _ANCHOR.sub(" ", text).split()
-        within = sum(len(a.split()) for a in anchors)
-        share = within / (within + sum(not w.isascii() or any(map(str.isalnum, w)) for w in beside))
-        rest = "".join(beside)
+    within, rest = 0, pieces
+    if "</a>" in text:
+        within = sum(len(tag.split()) for tag in _ANCHOR.findall(text))
+        rest = _ANCHOR.sub(" ", text).split()
+    if "/" in text or "](" in text or "www." in text:
+        kept = [w for w in rest if not _is_anchor(w)]
+        within, rest = within + len(rest) - len(kept), kept
+    share = within / (within + sum(not w.isascii() or any(map(str.isalnum, w)) for w in rest)) if within else 0.0
+    plain = "".join(rest)
+    raw = plain.encode("utf-8", "replace")
+    figures = (len(raw) - len(raw.translate(None, _FIGURES))) / max(1, len(plain))
     lines = [line for line in text.split("\n") if line.strip()]
     priced = sum(bool(_PRICE.search(line[-20:])) and len(_PRICED_WORDS.findall(line[:200])) >= 3 for line in lines)
-    return [variety / sqrt(max(1, n_words)), share, 1 - len(rest.translate(_NO_FIGURES)) / max(1, len(rest)), priced / max(1, len(lines))]
+    return [variety / sqrt(max(1, n_words)), share, figures, priced / max(1, len(lines))]
 
 
 def compressed(text: str) -> float:
