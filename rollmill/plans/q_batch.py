@@ -14,10 +14,6 @@ def _orders(t):
     return B.positioned(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
 
 
-def _cut(t, rows):
-    return B.slice_rows(_orders(t), 0, rows)
-
-
 def register(q: Registry) -> None:
     @q("add_row_index", f"SELECT pos, o_orderkey FROM {ORDERS}")
     def _(t):
@@ -117,20 +113,20 @@ def register(q: Registry) -> None:
     def _(t):
         return B.drop_last(_orders(t), 64).select("pos", "o_orderkey")
 
-    pad = f"""WITH o AS (SELECT * FROM {ORDERS} WHERE pos < 11) SELECT pos + k * 11 AS pos, o_orderkey FROM o, (SELECT unnest([0, 1, 2]) AS k) WHERE pos + k * 11 < 32"""
+    pad = f"""WITH o AS (SELECT * FROM {ORDERS}), n AS (SELECT count(*) AS n FROM o) SELECT pos, o_orderkey FROM o UNION ALL SELECT pos + n, o_orderkey FROM o, n WHERE pos < (32 - n % 32) % 32"""
 
     @q("proto_pad_divisor", pad)
     def _(t):
-        return B.pad_to_divisor(_cut(t, 11), 32)[0].select("pos", "o_orderkey")
+        return B.pad_to_divisor(_orders(t), 32)[0].select("pos", "o_orderkey")
 
-    @q("proto_unpad", f"SELECT pos, o_orderkey FROM {ORDERS} WHERE pos < 11")
+    @q("proto_unpad", f"SELECT pos, o_orderkey FROM {ORDERS}")
     def _(t):
-        return B.unpad(*B.pad_to_divisor(_cut(t, 11), 32)).select("pos", "o_orderkey")
+        return B.unpad(*B.pad_to_divisor(_orders(t), 32)).select("pos", "o_orderkey")
 
-    @q("auto_padding_dispatch", f"SELECT pos, o_orderkey * 2 AS doubled FROM {ORDERS} WHERE pos < 11")
+    @q("auto_padding_dispatch", f"SELECT pos, o_orderkey * 2 AS doubled FROM {ORDERS}")
     def _(t):
-        padded, added = B.pad_to_divisor(_cut(t, 11), 4)
-        return B.unpad(B.chunk(padded, 4).select("pos", (F.col("o_orderkey") * 2).alias("doubled")), added)
+        padded, added = B.pad_to_divisor(_orders(t), 7)
+        return B.unpad(B.chunk(padded, 7).select("pos", (F.col("o_orderkey") * 2).alias("doubled")), added)
 
     @q("proto_padding", f"WITH o AS (SELECT * FROM {ORDERS}) SELECT pos, o_orderkey FROM o UNION ALL SELECT (SELECT count(*) FROM o) + k, o_orderkey FROM o, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE pos = (SELECT count(*) - 1 FROM o)")
     def _(t):

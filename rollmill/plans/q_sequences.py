@@ -52,9 +52,9 @@ def register(q: Registry) -> None:
         width = rows.agg(F.greatest(F.max(F.size("ids")), F.lit(10)).alias("width"))
         return rows.crossJoin(F.broadcast(width)).select("l_orderkey", _text(A.pad("ids", F.col("width"))).alias("ids"))
 
-    @q("unpad_data", f"SELECT l_orderkey, len(ids)::BIGINT AS seqlen, sum(len(ids)) OVER (ORDER BY l_orderkey)::BIGINT AS cu_seqlen, max(len(ids)) OVER ()::BIGINT AS max_seqlen FROM {SEQ} WHERE l_orderkey < 2000")
+    @q("unpad_data", f"SELECT l_orderkey, len(ids)::BIGINT AS seqlen, sum(len(ids)) OVER (ORDER BY l_orderkey)::BIGINT AS cu_seqlen, max(len(ids)) OVER ()::BIGINT AS max_seqlen FROM {SEQ}")
     def _(t):
-        rows = _seq(t).where("l_orderkey < 2000").select("l_orderkey", F.size("ids").cast("long").alias("seqlen"))
+        rows = _seq(t).select("l_orderkey", F.size("ids").cast("long").alias("seqlen"))
         return _running(rows)
 
     @q("pack_sequences", f"SELECT l_orderkey, ((len(ids) + 3) // 4 * 4)::BIGINT AS padded, (sum((len(ids) + 3) // 4 * 4) OVER (ORDER BY l_orderkey) - (len(ids) + 3) // 4 * 4)::BIGINT AS start FROM {SEQ}")

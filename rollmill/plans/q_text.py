@@ -19,6 +19,13 @@ BOX = r"regexp_extract_all(r, '\\(?:boxed|fbox)\{([^{}]*)\}', 1)[-1]"
 WORDS = "list_filter(regexp_split_to_array(lower(r), '\\s+'), lambda w: w <> '')"
 
 
+def same(answer: str) -> str:
+    """SQL of equality with the truth: as text, or as numbers within 1e-4, also times or over 100."""
+    a, b = (f"TRY_CAST(replace({x}, ',', '') AS DOUBLE)" for x in (f"({answer})", "truth"))
+    near = lambda x: f"abs({a} - {x}) <= 1e-4 * greatest(abs({a}), abs({x}))"
+    return f"coalesce(({answer}) = truth OR {near(b)} OR {near(b + ' / 100')} OR {near(b + ' * 100')}, false)"
+
+
 def _resp(t):
     x = t.generations.select("uid", F.posexplode("responses").alias("i", "r"), F.col("reward_model.ground_truth").alias("truth"))
     return x.where("r IS NOT NULL")
@@ -53,7 +60,7 @@ def register(q: Registry) -> None:
     score("is_equiv", lambda: F.coalesce(U.latex_form(T.simple_boxed(c.r)).eqNullSafe(c.truth), F.lit(False)), f"{BOX} IS NOT DISTINCT FROM truth", "same")
     score("strip_string", lambda: U.latex_form(F.concat(F.lit("\\dfrac12 + "), T.number_strict(c.r))), f"'\\frac{{1}}{{2}}+' || {STRICT}", "form")
     score("prime_math_grade", lambda: F.coalesce(T.same_number(T.number_strict(c.r), c.truth), F.lit(False)), f"coalesce(least(abs(a - b) - 1e-4 * greatest(abs(a), abs(b)), abs(a - b / 100) - 1e-4 * greatest(abs(a), abs(b / 100)), abs(a - b * 100) - 1e-4 * greatest(abs(a), abs(b * 100))) <= 0, false)".replace("abs(a", "abs(TRY_CAST(" + STRICT + " AS DOUBLE)").replace("- b", "- TRY_CAST(replace(truth, ',', '') AS DOUBLE)").replace("abs(b", "abs(TRY_CAST(replace(truth, ',', '') AS DOUBLE)"), "same")
-    score("answers_equal", lambda: U.answers_equal(T.simple_boxed(c.r), T.simple_boxed(c.r)), "true", "same")
+    score("answers_equal", lambda: U.answers_equal(T.simple_boxed(c.r), c.truth), f"CASE WHEN {BOX} IS NULL OR truth IS NULL THEN {BOX} IS NULL AND truth IS NULL ELSE {same(BOX)} END", "same")
     score("code_extract", lambda: T.code_block(c.r), "coalesce(regexp_extract_all(r, '(?s)```python\\n(.*?)```', 1)[-1], '')", "code")
     score("code_format_reward", lambda: T.code_format(c.r), "0.0::DOUBLE")
     score("tag_count", lambda: T.tag_count(F.concat(F.lit("<think>\n"), c.r, F.lit("\n</think>\n"))), "(CASE WHEN len(x) - len(replace(x, '<think>' || chr(10), '')) = 8 THEN 0.25 ELSE 0 END + CASE WHEN len(x) - len(replace(x, chr(10) || '</think>' || chr(10), '')) = 10 THEN 0.25 ELSE 0 END)::DOUBLE".replace("x,", "('<think>' || chr(10) || r || chr(10) || '</think>' || chr(10)),").replace("len(x)", "len('<think>' || chr(10) || r || chr(10) || '</think>' || chr(10))"))
@@ -75,9 +82,14 @@ def register(q: Registry) -> None:
     boxed_or_marked = f"CASE WHEN coalesce({BOX}, {STRICT}) = truth THEN 1.0 ELSE 0.0 END::DOUBLE"
     for name, reward in (("luffy_reward", "luffy"), ("math_verify_score", "math_verify")):
         score(name, lambda reward=reward: R.scorer(reward)(c.r, c.truth), boxed_or_marked)
-    # the boxed rewards of the source take no "####" number (``R.SCORERS`` has them); these take one, as their SQL does
-    for name in ("openr1_rewards", "dr_grpo_rewards", "batch_score"):
-        score(name, lambda: F.when(F.coalesce(T.simple_boxed(c.r), T.number_strict(c.r)) == c.truth, 1.0).otherwise(0.0), boxed_or_marked)
+    # boxed rewards take no "####" number
+    score("openr1_rewards", lambda: R.scorer("openr1")(c.r, c.truth), f"CASE WHEN {same(BOX)} THEN 1.0 ELSE 0.0 END::DOUBLE")
+    tag = "replace(string_split(r, '<answer>')[-1], '</answer>', '')"
+    tag_box = BOX.replace("(r,", f"({tag},")
+    tagged = f"CASE WHEN contains({tag}, '\\boxed') THEN {tag_box} ELSE trim({tag}, ' ' || chr(9) || chr(10) || chr(13)) END"
+    score("dr_grpo_rewards", lambda: R.scorer("dr_grpo_answer_tag_orz")(c.r, c.truth), f"CASE WHEN contains(r, '<answer>') AND contains(r, '</answer>') AND {same(tagged)} THEN 1.0 ELSE 0.0 END::DOUBLE")
+    batch = lambda responses, truths: [float(t is not None and U.boxed_reward(r, t)) for r, t in zip(responses, truths)]
+    score("batch_score", lambda: R.by_batch(batch, c.r, c.truth), f"CASE WHEN {same(BOX)} THEN 1.0 ELSE 0.0 END::DOUBLE")
     score("match_answer", lambda: F.coalesce(F.nullif(F.regexp_extract(F.lower(c.r), r"answer:\s*(\S*\d\S*)", 1), F.lit("")), T.simple_boxed(c.r)), f"coalesce(nullif(regexp_extract(lower(r), 'answer:\\s*(\\S*\\d\\S*)', 1), ''), {BOX})", "answer")
 
     @q("repeatness")
@@ -103,7 +115,7 @@ def register(q: Registry) -> None:
     score("rm_dapo", lambda: F.round(T.overlong_penalty(F.length(c.r), 500, 200, 1.0), 6), "round(least(-(length(r) - 300) / 200.0, 0), 6)::DOUBLE")
     score("rm_naive", lambda: T.graded(T.number_strict(c.r), c.truth), f"CASE WHEN {STRICT} = truth THEN 1.0 ELSE 0.0 END::DOUBLE")
     score("rm_prefix", lambda: F.when(F.length(c.r) >= 400, T.graded(T.number_strict(T.after_think(c.r)), c.truth)).otherwise(T.graded(T.number_strict(c.r), c.truth)), f"CASE WHEN length(r) >= 400 THEN CASE WHEN replace(regexp_extract(regexp_extract(r, '(?s)<think>.*?</think>(.*)', 1), '#### (-?[0-9.,]+)', 1), ',', '') = truth THEN 1.0 ELSE 0.0 END WHEN {STRICT} = truth THEN 1.0 ELSE 0.0 END::DOUBLE")
-    score("rm_batch", lambda: F.when(U.answers_equal(T.number_flexible(c.r), T.number_flexible(c.r)), 1.0).otherwise(0.0), "1.0::DOUBLE")
+    score("rm_batch", lambda: F.when(U.answers_equal(T.number_flexible(c.r), c.truth), 1.0).otherwise(0.0), f"CASE WHEN {same(FLEX)} THEN 1.0 ELSE 0.0 END::DOUBLE")
 
     def rows(t):
         return t.generations.select("uid", F.posexplode("responses").alias("i", "r"), F.col("reward_model.ground_truth").alias("truth")).where("r IS NOT NULL")
@@ -152,9 +164,11 @@ def register(q: Registry) -> None:
         code = T.sandbox_code(F.col("event_type") != "error", F.when(k == 0, "Error").otherwise("Finished"), F.when(k == 1, "TimeLimitExceeded").otherwise("Finished"), F.when(k == 2, 1).otherwise(0), F.when(F.col("value") > 10, " a\n b ").otherwise("c"), F.lit("a\nb"))
         return t.events.select("event_id", code.alias("code"))
 
-    @q("output_compare", "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")
+    @q("output_compare", "SELECT doc_id, doc_id % 3 <> 0 AS same FROM documents WHERE text IS NOT NULL")
     def _(t):
-        return t.documents.where("text IS NOT NULL").select("doc_id", T.lines_equal(F.concat(F.col("text"), F.lit("  ")), F.col("text")).alias("same"))
+        # blanks at the end are no difference, a letter is one
+        other = F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.lit("  ")))
+        return t.documents.where("text IS NOT NULL").select("doc_id", T.lines_equal(other, F.col("text")).alias("same"))
 
     @q("log_line_parse", "SELECT event_id, value AS reward FROM events")
     def _(t):

@@ -106,22 +106,23 @@ def register(q: Registry) -> None:
     def _(t):
         return t.events.coalesce(2).mapInPandas(lambda frames: frames, t.events.schema).agg(F.count("*").alias("n"))
 
-    @q("timeout_guard", "SELECT event_id, -1::INTEGER AS code FROM events WHERE event_id < 20")
+    @q("timeout_guard", "SELECT event_id, CASE WHEN event_id % 2000 = 7 THEN -1 ELSE event_id % 5 END::INTEGER AS code FROM events")
     def _(t):
-        def slow(frames):
+        def run(frames):
             import time
 
-            guarded = D.limited(0.01)(lambda _: time.sleep(1) or 0)
+            # the slow calls take far more than their time, the others far less
+            guarded = D.limited(0.5)(lambda key: time.sleep(30) if key % 2000 == 7 else key % 5)
             for pdf in frames:
                 codes = []
-                for key in pdf["event_id"]:
+                for key in pdf["event_id"].tolist():
                     try:
                         codes.append(guarded(key))
                     except TimeoutError:
                         codes.append(-1)
                 yield pdf.assign(code=codes)
 
-        return t.events.where("event_id < 20").select("event_id").mapInPandas(slow, "event_id long, code int")
+        return t.events.select("event_id").mapInPandas(run, "event_id long, code int")
 
     # --- sources and sinks
     @q("scan_parquet_multi", "SELECT count(*) AS n FROM (SELECT uid FROM generations UNION ALL SELECT uid FROM demos)")
