@@ -1,4 +1,4 @@
-"""Comparison of texts by TF-IDF, with joins over terms instead of matrices."""
+"""Comparison of texts by TF-IDF, with joins over terms instead of matrices, and trends of plotted series."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TERM = r"[a-z0-9]{2,}"
 
@@ -46,3 +49,44 @@ def tfidf_pair(a: Column, b: Column) -> Column:
         return pd.Series([pair_cosine(x, y) for x, y in zip(left, right)])
 
     return cosine(a, b)
+
+
+def lowess(points: DataFrame, x: str, y: str, *keys: str, share: float = 2 / 3, rounds: int = 3) -> DataFrame:
+    """``*keys, x, y, trend``: locally weighted linear regression of each series (all points without ``keys``). At each point
+    a line is fitted to the nearest ``share`` of the points with tricube weights; ``rounds`` times the points are weighted
+    again by their residuals (bisquare). Where the nearest points have one x or no weight, the trend is their weighted mean.
+
+    A series is what a plot shows: points already aggregated by x. It is fitted in one task; null and NaN points are left out.
+    """
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([x, y], kind="stable").reset_index(drop=True)
+        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        n = len(a)
+        k = min(n, max(2, int(share * n + 1e-10)))
+        robust, trend = np.ones(n), np.zeros(n)
+        for again in range(rounds + 1):
+            for i in range(n):
+                far = np.abs(a - a[i])
+                reach = np.partition(far, k - 1)[k - 1]
+                w = robust * (np.clip(1 - (far / reach) ** 3, 0, None) ** 3 if reach > 0 else (far == 0).astype(float))
+                total = w.sum()
+                if total <= 0:
+                    trend[i] = b[i]
+                    continue
+                middle = (w * a).sum() / total
+                spread = (w * (a - middle) ** 2).sum()
+                mean = (w * b).sum() / total
+                flat = spread <= 1e-12 * total * max(1.0, float(np.ptp(a)) ** 2)
+                trend[i] = mean if flat else mean + (a[i] - middle) * (w * (a - middle) * b).sum() / spread
+            if again < rounds:
+                off = np.abs(b - trend)
+                typical = 6 * np.median(off)
+                if typical <= 0:
+                    break
+                robust = np.clip(1 - (off / typical) ** 2, 0, None) ** 2
+        return pdf.assign(trend=trend)
+
+    own = points.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL AND NOT isnan(`{x}`) AND NOT isnan(`{y}`)")
+    schema = StructType([*own.schema.fields, StructField("trend", DoubleType())])
+    return own.groupBy(*keys).applyInPandas(fitted, schema)

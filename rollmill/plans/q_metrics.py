@@ -259,9 +259,19 @@ def register(q: Registry) -> None:
     def _(t):
         return t.demos.where("NOT isnan(avg_correctness)").groupBy(F.when(F.col("avg_correctness") > 0.5, "easy").otherwise("hard").alias("bucket")).agg(F.count("*").alias("n"))
 
-    @q("lowess_trend", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem GROUP BY 1")
-    def _(t):
-        return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 3).alias("intercept"))
+    @q("lowess_trend", """WITH p AS (SELECT l_returnflag AS f, l_quantity::DOUBLE AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2),
+        k AS (SELECT f, greatest(2, floor(count(*) * 2 / 3.0 + 1e-10))::INTEGER AS k FROM p GROUP BY f),
+        d AS (SELECT a.f, a.x AS x0, b.x, b.y, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.f, a.x ORDER BY abs(a.x - b.x)) AS r FROM p a JOIN p b ON a.f = b.f),
+        h AS (SELECT d.f, x0, max(d) AS h FROM d JOIN k USING (f) WHERE r <= k GROUP BY d.f, x0),
+        w AS (SELECT d.f, d.x0, x, y, pow(greatest(1 - pow(d / h, 3), 0), 3) AS w FROM d JOIN h ON d.f = h.f AND d.x0 = h.x0),
+        m AS (SELECT f, x0, sum(w) AS w, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS mxx, sum(w * x * y) / sum(w) AS mxy FROM w GROUP BY f, x0)
+        SELECT f AS l_returnflag, x0 AS l_quantity, round(my + (x0 - mx) * (mxy - mx * my) / (mxx - mx * mx), 3) AS trend FROM m""")
+    def _(t):
+        from rollmill.operators.analysis import lowess
+
+        # the weighting by residuals is left out, as the SQL has none
+        series = t.lineitem.groupBy("l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity")).agg(F.avg("l_extendedprice").alias("price"))
+        return lowess(series, "l_quantity", "price", "l_returnflag", rounds=0).select("l_returnflag", "l_quantity", F.round("trend", 3).alias("trend"))
 
     # --- joins
     loss = f"(SELECT uid, avg(final_loss) AS loss FROM forward_export WHERE {FINITE} GROUP BY uid)"

@@ -38,3 +38,14 @@ def test_bootstrap_query_draws_1000_samples(spark, tmp_path):
     drawn = [np.random.choice(9, size=4, replace=True) ** 2 for _ in range(1000)]
     most = [max(d) for d in drawn]
     assert got["max"] == pytest.approx((np.mean(most), np.std(most)))
+
+
+def test_lowess_ignores_an_outlier_and_follows_a_line(spark):
+    from rollmill.operators.analysis import lowess
+
+    points = [("a", float(i), 2.0 * i + 1 + (500.0 if i == 10 else 0.0)) for i in range(30)] + [("b", 1.0, 5.0), ("b", None, 1.0), ("c", 2.0, 3.0), ("c", 2.0, 5.0)]
+    table = spark.createDataFrame(points, "g string, x double, y double")
+    got = lowess(table, "x", "y", "g", rounds=4).collect()
+    assert all(abs(r.trend - (2 * r.x + 1)) < 1e-6 for r in got if r.g == "a" and r.x != 10)
+    assert {(r.g, r.trend) for r in got if r.g != "a"} == {("b", 5.0), ("c", 4.0)}
+    assert lowess(table.where("false"), "x", "y", "g").count() == 0
