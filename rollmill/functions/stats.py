@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollmill.functions import arrays as A
+from rollmill.session import cut_lineage
 
 MEAN_EPSILON = WHITEN_EPSILON = 1e-8
 
@@ -63,10 +64,44 @@ def softmean(df: DataFrame, value: str, beta: float) -> DataFrame:
     return df.crossJoin(F.broadcast(most)).agg(((F.log(F.avg(F.exp(scaled - F.col("_most")))) + F.max("_most")) / beta).alias("softmean"))
 
 
+def spread_percentiles(df: DataFrame, value: str, shares: list[float], *keys: str) -> DataFrame:
+    """``*keys, _q``: exact percentiles with linear interpolation (nulls and NaN left out), however large a group is.
+
+    Values are counted first, then placed by ranges of (keys, value), each sorted in a task of its own; the ranges' sums give
+    the ranks before each range. Only the rows at the wanted ranks are gathered. A group without values has no row.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    own = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    counts = own.groupBy(*names, "_v").agg(F.count("*").alias("_n"))
+    ranged = cut_lineage(counts.repartitionByRange(*names, "_v").withColumn("_part", F.spark_partition_id()))
+    # a row for each group and range
+    whole, earlier = Window.partitionBy(*names), Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*names, "_part").agg(F.sum("_n").alias("_in"))
+    sums = sums.select(*names, "_part", F.sum("_in").over(whole).alias("_all"), F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*names, "_part").orderBy("_v")
+    running = ranged.withColumn("_through", F.sum("_n").over(within))
+    renamed = sums.select(*(F.col(n).alias(f"{n}s") for n in names), F.col("_part").alias("_parts"), "_all", "_before")
+    same = F.col("_part") == F.col("_parts")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    placed = running.join(renamed, same).withColumn("_end", F.col("_before") + F.col("_through"))
+    holds = lambda rank: (rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end"))
+    columns, wanted = [], F.lit(False)
+    for share in shares:
+        at = (F.col("_all") - 1) * F.lit(float(share))
+        low, high = F.floor(at), F.ceil(at)
+        wanted = wanted | holds(low) | holds(high)
+        lower, upper, place = F.max(F.when(holds(low), F.col("_v"))), F.max(F.when(holds(high), F.col("_v"))), F.max(at)
+        columns.append(F.when(lower == upper, lower).otherwise((F.ceil(place) - place) * lower + (place - F.floor(place)) * upper))
+    found = placed.where(wanted).groupBy(*names).agg(F.array(*columns).alias("_q"))
+    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "_q")
+
+
 def iqr_fence(df: DataFrame, value: str, *keys: str, factor: float = 1.5) -> DataFrame:
     """Rows within ``factor`` quartile distances of the quartiles of their group (all rows without ``keys``). Quartiles are
-    aggregated, then joined back, so a group of any size stays spread."""
-    at = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    found by ranges (``spread_percentiles``), then joined back, so a group of any size stays spread. Null keys and null
+    values are left out."""
+    at = spread_percentiles(df, value, [0.25, 0.75], *keys)
     low, high = F.col("_q")[0], F.col("_q")[1]
     joined = df.join(at, list(keys)) if keys else df.crossJoin(F.broadcast(at))
     return joined.where(F.col(value).between(low - factor * (high - low), high + factor * (high - low))).drop("_q")
@@ -74,8 +109,7 @@ def iqr_fence(df: DataFrame, value: str, *keys: str, factor: float = 1.5) -> Dat
 
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """``bin`` of each row: right-closed intervals between the distinct quantiles, the first one closed on both sides."""
-    cuts = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = df.agg(F.array_distinct(F.percentile(value, cuts)).alias("_edges"))
+    edges = spread_percentiles(df, value, [i / bins for i in range(bins + 1)]).select(F.array_distinct("_q").alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(below - 1, F.lit(0))).drop("_edges")
 

@@ -49,3 +49,23 @@ def test_lowess_ignores_an_outlier_and_follows_a_line(spark):
     assert all(abs(r.trend - (2 * r.x + 1)) < 1e-6 for r in got if r.g == "a" and r.x != 10)
     assert {(r.g, r.trend) for r in got if r.g != "a"} == {("b", 5.0), ("c", 4.0)}
     assert lowess(table.where("false"), "x", "y", "g").count() == 0
+
+
+def test_spread_percentiles_equal_the_exact_ones(spark):
+    from pyspark.sql import functions as F
+
+    from rollmill.functions import stats
+
+    rows = [(None if i % 11 == 0 else f"g{i % 3}", float(i * 37 % 101) if i % 7 else (None if i % 2 else float("nan"))) for i in range(800)] + [("one", 4.0), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    want = table.where("v IS NOT NULL AND NOT isnan(v)").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("_q"))
+    plain = lambda df: sorted((str(r.g), [round(x, 9) for x in r._q]) for r in df.collect())
+    assert plain(stats.spread_percentiles(table, "v", shares, "g")) == plain(want)
+    assert stats.spread_percentiles(table, "v", [0.5]).first()._q == [want.sparkSession.table(table_name(table)).selectExpr("percentile(v, 0.5)").first()[0]]
+    assert stats.spread_percentiles(table.where("false"), "v", [0.5], "g").count() == 0
+
+
+def table_name(table):
+    table.where("v IS NOT NULL AND NOT isnan(v)").createOrReplaceTempView("spread_values")
+    return "spread_values"
