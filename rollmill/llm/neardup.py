@@ -19,8 +19,8 @@ These keys tell what is connected at once: exactly for short records and for rec
 otherwise by chance. So nothing rests on them: a second pass compares all records of different components (``across``) by
 size and parity bits and verifies those left, and every link that connects anything is found with certainty. That pass is a
 comparison of records in blocks, a few operations on bits a pair; its time grows with the square of the records. A filter
-by words can't take its place here: most words are in a tenth of all records, and every exact set of keys that was counted
-(pairs, triples of words of a class, equal classes) meets a hundredth of all pairs or needs hundreds of keys a record.
+by words can't take its place here: most words are in a tenth of all records, and the exact sets of keys considered (pairs or
+triples of words of a class, equal classes) are estimated to meet a hundredth of all pairs or need hundreds of keys a record.
 
 Any fixed order keeps the result exact, so word frequencies may be estimated: counts of 2**20 hash buckets, a broadcast of
 fixed size (1 MB as logarithms).
