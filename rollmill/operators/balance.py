@@ -81,8 +81,9 @@ def _assigned(df: DataFrame, batch: str, order: str, length: str, make) -> DataF
 
 
 def balanced(df: DataFrame, batch: str, order: str, length: str, parts: int, equal_size: bool = False) -> DataFrame:
-    """``df`` with ``part`` by Karmarkar-Karp within each batch."""
-    return _assigned(df, batch, order, length, lambda lengths: largest_differencing(lengths, parts, equal_size))
+    """``df`` with ``part`` by Karmarkar-Karp within each batch. A batch of fewer rows than ``parts``, as the last one of a table
+    may be, has a part for each row, unless ``equal_size`` is asked for."""
+    return _assigned(df, batch, order, length, lambda lengths: largest_differencing(lengths, parts if equal_size else min(parts, len(lengths)), equal_size))
 
 
 def greedy(df: DataFrame, batch: str, order: str, length: str, parts: int) -> DataFrame:
