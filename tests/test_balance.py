@@ -15,3 +15,7 @@ SHORT = [(0, 5), (1, 3), (2, 9), (3, 1), (4, 2), (200, 7), (201, 4), (399, 6), (
 def test_balance_batch_of_few_rows(spark, tmp_path):
     got = query(spark, tmp_path, "balance_batch", SHORT)
     assert got == [(0, 0, 1, 9), (0, 1, 1, 5), (0, 2, 1, 3), (0, 3, 2, 3), (1, 0, 1, 7), (1, 1, 1, 6), (1, 2, 1, 4), (2, 0, 1, 0)]
+
+
+def test_balance_kk_of_few_rows(spark, tmp_path):
+    assert query(spark, tmp_path, "balance_kk", SHORT) == [(0, 5, 20), (1, 3, 17), (2, 1, 0)]
