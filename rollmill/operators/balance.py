@@ -19,7 +19,7 @@ def ceildiv(a: int, b: int) -> int:
 
 
 def largest_differencing(lengths: list[int], parts: int, equal_size: bool = False) -> list[list[int]]:
-    """Karmarkar-Karp: indices in ``parts`` sets with sums as even as the heuristic gives, sorted within a set.
+    """Karmarkar-Karp: indices in ``parts`` sets with sums as even as the heuristic gives, sorted within a set; none is empty.
 
     ``equal_size``: sets of equally many indices; their number must divide.
     """
@@ -30,21 +30,34 @@ def largest_differencing(lengths: list[int], parts: int, equal_size: bool = Fals
         raise ValueError(f"{n} sequences can't be split into {parts} equal parts")
     order = sorted((length, i) for i, length in enumerate(lengths))
     width = parts if equal_size else 1
-    states = []
-    for at in range(0, n, width):
-        own = sorted(((length, [i]) for length, i in order[at : at + width]), key=lambda s: (-s[0], s[1]))
-        states.append(own + [(0, [])] * (parts - len(own)))
-    heap = [(-(s[0][0] - s[-1][0]), k, s) for k, s in enumerate(states)]
+    # a set: sum, number and first index, all negative, then the indices as nested pairs; larger sets come first. A state has
+    # its sets in order, without the empty ones, which would come last.
+    heap = [_ranked([(-length, -1, -i, i) for length, i in order[at : at + width]], parts) for at in range(0, n, width)]
     heapq.heapify(heap)
-    made = len(heap)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
+        _, a = heapq.heappop(heap)
+        _, b = heapq.heappop(heap)
         # the largest of one meets the smallest of the other
-        joined = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda s: (-s[0], s[1]))
-        heapq.heappush(heap, (-(joined[0][0] - joined[-1][0]), made, joined))
-        made += 1
-    return [sorted(indices) for _, indices in heap[0][2]]
+        met = [(x[0] + y[0], x[1] + y[1], x[2], (x[3], y[3])) for x, y in zip(a[parts - len(b) :], reversed(b[parts - len(a) :]))]
+        heapq.heappush(heap, _ranked(a[: parts - len(b)] + met + b[: parts - len(a)], parts))
+    return [sorted(_leaves(s[3])) for s in heap[0][1]]
+
+
+def _ranked(sets: list[tuple], parts: int) -> tuple[int, list[tuple]]:
+    """A state after its negative spread; of equal spreads, the one with the larger first set is taken first."""
+    sets.sort()
+    return sets[0][0] - (sets[-1][0] if len(sets) == parts else 0), sets
+
+
+def _leaves(pairs) -> list[int]:
+    out, left = [], [pairs]
+    while left:
+        at = left.pop()
+        if isinstance(at, tuple):
+            left += at
+        else:
+            out.append(at)
+    return out
 
 
 def least_loaded(lengths: list[int], parts: int, equal_size: bool = False) -> list[list[int]]:
@@ -60,10 +73,10 @@ def least_loaded(lengths: list[int], parts: int, equal_size: bool = False) -> li
 
 
 def micro_batches(lengths: list[int], most_tokens: int, least: int = 1) -> list[list[int]]:
-    """Balanced sets, as many as the tokens need (``least`` at least, one sequence each at most)."""
-    if max(lengths, default=0) > most_tokens:
-        raise ValueError("a sequence is longer than the limit of a micro-batch")
-    return largest_differencing(lengths, max(least, min(len(lengths), ceildiv(sum(lengths), most_tokens))))
+    """Balanced sets, as many as the tokens need (``least`` at least, one sequence each at most). A sequence longer than
+    ``most_tokens`` counts with its tokens like any other; it stays whole, so its set is over the limit."""
+    parts = max(least, min(len(lengths), ceildiv(sum(lengths), most_tokens)))
+    return largest_differencing(lengths, parts) if parts else []
 
 
 def _assigned(df: DataFrame, batch: str, order: str, length: str, make) -> DataFrame:
@@ -71,7 +84,7 @@ def _assigned(df: DataFrame, batch: str, order: str, length: str, make) -> DataF
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).reset_index(drop=True)
-        part = [0] * len(pdf)
+        part = [None] * len(pdf)
         for p, indices in enumerate(make(pdf[length].tolist())):
             for i in indices:
                 part[i] = p
@@ -91,7 +104,8 @@ def greedy(df: DataFrame, batch: str, order: str, length: str, parts: int) -> Da
 
 
 def in_micro_batches(df: DataFrame, batch: str, order: str, length: str, most_tokens: int) -> DataFrame:
-    return _assigned(df, batch, order, length, lambda lengths: micro_batches(lengths, most_tokens))
+    """``df`` with ``part``; null in a batch without tokens, which needs no micro-batch."""
+    return _assigned(df, batch, order, length, lambda lengths: micro_batches(lengths, most_tokens, least=0))
 
 
 def serpentine(df: DataFrame, length: str, parts: int, *identity: str, buckets: int = 256) -> DataFrame:
