@@ -6,6 +6,7 @@ definition); batches run beside each other. ``serpentine`` places rows of any nu
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections import OrderedDict
 
@@ -32,20 +33,27 @@ def largest_differencing(lengths: list[int], parts: int, equal_size: bool = Fals
     width = parts if equal_size else 1
     # a set: sum, number and first index, all negative, then the indices as nested pairs; larger sets come first. A state has
     # its sets in order, without the empty ones, which would come last.
-    heap = [_ranked([(-length, -1, -i, i) for length, i in order[at : at + width]], parts) for at in range(0, n, width)]
+    heap = [_ranked(sorted((-length, -1, -i, i) for length, i in order[at : at + width]), parts) for at in range(0, n, width)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
         # the largest of one meets the smallest of the other
         met = [(x[0] + y[0], x[1] + y[1], x[2], (x[3], y[3])) for x, y in zip(a[parts - len(b) :], reversed(b[parts - len(a) :]))]
-        heapq.heappush(heap, _ranked(a[: parts - len(b)] + met + b[: parts - len(a)], parts))
+        new = met + b[: parts - len(a)]
+        del a[parts - len(b) :]
+        if len(new) < 16:  # mostly one sequence that meets many sets
+            for own in new:
+                bisect.insort(a, own)
+        else:
+            a += new
+            a.sort()
+        heapq.heappush(heap, _ranked(a, parts))
     return [sorted(_leaves(s[3])) for s in heap[0][1]]
 
 
 def _ranked(sets: list[tuple], parts: int) -> tuple[int, list[tuple]]:
     """A state after its negative spread; of equal spreads, the one with the larger first set is taken first."""
-    sets.sort()
     return sets[0][0] - (sets[-1][0] if len(sets) == parts else 0), sets
 
 

@@ -39,3 +39,8 @@ def test_differencing_ties():
     assert B.largest_differencing([100, 0, 0, 0], 3) == [[0], [1, 2], [3]]
     assert B.largest_differencing([5, 5, 5, 5], 2, True) == [[0, 3], [1, 2]]
     assert B.micro_batches([70, 0, 0], 30) == [[0], [2], [1]] and B.micro_batches([0, 0], 30, least=0) == []
+
+
+def test_differencing_of_many_sets():
+    sets = B.largest_differencing(list(range(1, 65)), 32, True)
+    assert sorted(i for s in sets for i in s) == list(range(64)) and {sum(i + 1 for i in s) for s in sets} == {65}
